@@ -1,12 +1,14 @@
 """Document fingerprints: invertible Bloom lookup sketches, on DataFrame functions alone.
 
 A text is the set of its paragraphs (lines).  Every paragraph has a 64-bit
-digest, of which 16 bits check the other 48, and adds to one cell in each of
-three tables: one to the cell's count and the digest, by XOR, to its sum.
-Sketches of two versions are subtracted cell by cell, so what both hold
-vanishes; peeling then takes out the digest of any cell that holds just one,
-round by round, and recovers the digests that differ.  If a round finds none
-before all cells are empty, both sketches are made anew at twice the size.
+digest, of which 16 bits check the other 48, and is added by XOR to one cell in
+each of three tables; the check bits tell a cell that holds one digest from one
+that holds several, so cells need no count.  Sketches of two versions are
+subtracted cell by cell, so what both hold vanishes; peeling then takes out the
+digest of any cell that holds just one, round by round, and recovers the digests
+that differ.  A comparison begins with sketches that hold all paragraphs of both
+versions with room to spare; if a round finds nothing before all cells are
+empty, both are made anew at twice the size.
 
 Everything happens within a row: the cost is in proportion to the text, and
 nothing is shuffled.  :func:`successors` pairs each row with the next one by
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from verisift.scratch import materialize
 
-#: Cells of a table at first, tables, and how often the size may double.
-CELLS, TABLES, DOUBLINGS = 8, 3, 24
+#: Cells of a table of a fingerprint, and at least; tables; how often the size may double.
+CELLS, TABLES, DOUBLINGS = 8, 3, 16
 #: Rows of a range in :func:`successors`, and ranges at most.
 RANGE_ROWS, RANGES = 2000, 20_000
 
@@ -49,28 +51,18 @@ def _put(array: Column, at: Column, value: Column) -> Column:
     return F.concat(F.slice(array, F.lit(1), at), F.array(value), F.slice(array, at + 2, F.size(array)))
 
 
-def _add(state: Column, digest: Column, sign: Column, cells: Column) -> Column:
-    def one(s: Column, at: Column) -> Column:
-        counts = _put(s["counts"], at, F.get(s["counts"], at) + sign)
-        sums = _put(s["sums"], at, F.get(s["sums"], at).bitwiseXOR(digest))
-        return F.struct(counts.alias("counts"), sums.alias("sums"))
+def _toggle(cells: Column, digest: Column, size: Column) -> Column:
+    """Add a digest to its cells, or take it out."""
+    return F.aggregate(_cells_of(digest, size), cells, lambda now, at: _put(now, at, F.get(now, at).bitwiseXOR(digest)))
 
-    return F.aggregate(_cells_of(digest, cells), state, one)
 
-
-def _empty(cells: Column) -> Column:
-    return F.struct(F.array_repeat(F.lit(0), cells * TABLES).alias("counts"), F.array_repeat(F.lit(0).cast("long"), cells * TABLES).alias("sums"))
-
-
-def sketch(of: Column, cells: Column) -> Column:
-    """(counts, sums) of a set of digests."""
-    return F.aggregate(of, _empty(cells), lambda state, d: _add(state, d, F.lit(1), cells))
+def sketch(of: Column, size: Column) -> Column:
+    """The cells of a set of digests, in tables of ``size``."""
+    return F.aggregate(of, F.array_repeat(F.lit(0).cast("long"), size * TABLES), lambda now, d: _toggle(now, d, size))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    counts = F.zip_with(a["counts"], b["counts"], lambda x, y: x - y)
-    sums = F.zip_with(a["sums"], b["sums"], lambda x, y: x.bitwiseXOR(y))
-    return F.struct(counts.alias("counts"), sums.alias("sums"))
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
 def _let(value: Column, body) -> Column:
@@ -78,56 +70,42 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _pure(state: Column, cells: Column) -> Column:
-    """(digest, sign) of the cells that hold one digest alone."""
-    pairs = F.zip_with(state["counts"], state["sums"], lambda n, d: F.struct(d.alias("digest"), n.alias("sign")))
-    return F.array_distinct(
-        F.filter(pairs, lambda p: (F.abs(p["sign"]) == 1) & (F.xxhash64(p["digest"].bitwiseAND(F.lit(-65536))).bitwiseAND(F.lit(65535)) == p["digest"].bitwiseAND(F.lit(65535))))
-    )
+def _single(cell: Column) -> Column:
+    return (cell != 0) & (F.xxhash64(cell.bitwiseAND(F.lit(-65536))).bitwiseAND(F.lit(65535)) == cell.bitwiseAND(F.lit(65535)))
 
 
-def _round(state: Column, cells: Column) -> Column:
-    def taken(pure: Column) -> Column:
-        left = F.aggregate(
-            pure, F.struct(state["counts"].alias("counts"), state["sums"].alias("sums")), lambda s, p: _add(s, p["digest"], -p["sign"], cells)
-        )
-        return _let(
-            left,
-            lambda s: F.struct(
-                s["counts"].alias("counts"), s["sums"].alias("sums"), F.concat(state["found"], pure).alias("found"), (F.size(pure) == 0).alias("stuck")
-            ),
-        )
-
-    return F.when(state["stuck"], state).otherwise(_let(_pure(state, cells), taken))
-
-
-def peel(difference: Column, cells: Column) -> Column:
-    """(counts, sums, found, stuck): found are (digest, sign), sign 1 if only the first version has it; empty sums mean success."""
-    start = F.struct(
-        difference["counts"].alias("counts"),
-        difference["sums"].alias("sums"),
-        F.expr("cast(array() as array<struct<digest: bigint, sign: int>>)").alias("found"),
-        F.lit(False).alias("stuck"),
-    )
-    rounds = F.sequence(F.lit(1), cells * TABLES + 1)
-    return F.aggregate(rounds, start, lambda state, _: _round(state, cells))
+def _round(state: Column, size: Column) -> Column:
+    def taken(alone: Column) -> Column:
+        left = F.aggregate(alone, state["cells"], lambda now, d: _toggle(now, d, size))
+        return F.struct(left.alias("cells"), F.concat(state["found"], alone).alias("found"), (F.size(alone) == 0).alias("stuck"))
 
+    return F.when(state["stuck"], state).otherwise(_let(F.array_distinct(F.filter(state["cells"], _single)), taken))
 
-def _attempt(a: Column, b: Column, cells: Column) -> Column:
-    done = peel(subtract(sketch(a, cells), sketch(b, cells)), cells)
-    return _let(
-        done,
-        lambda s: F.struct(
-            (~F.exists(s["counts"], lambda n: n != 0) & ~F.exists(s["sums"], lambda d: d != 0)).alias("whole"), s["found"].alias("found")
-        ),
-    )
+
+NONE = "cast(array() as array<bigint>)"
+
+
+def peel(cells: Column, size: Column) -> Column:
+    """(cells, found, stuck): the digests found one by one; all cells empty means all were found."""
+    start = F.struct(cells.alias("cells"), F.expr(NONE).alias("found"), F.lit(False).alias("stuck"))
+    return F.aggregate(F.sequence(F.lit(1), size * TABLES + 1), start, lambda state, _: _round(state, size))
+
+
+def _attempt(a: Column, b: Column, size: Column) -> Column:
+    done = peel(subtract(sketch(a, size), sketch(b, size)), size)
+    return _let(done, lambda s: F.struct((~F.exists(s["cells"], lambda d: d != 0)).alias("whole"), s["found"].alias("found")))
 
 
 def difference(a: Column, b: Column) -> Column:
-    """The (digest, sign) in which two sets of digests differ, recovered from sketches that double in size until they peel."""
-    start = F.struct(F.lit(False).alias("whole"), F.expr("cast(array() as array<struct<digest: bigint, sign: int>>)").alias("found"))
-    tries = F.sequence(F.lit(0), F.lit(DOUBLINGS))
-    return F.aggregate(tries, start, lambda acc, k: F.when(acc["whole"], acc).otherwise(_attempt(a, b, F.lit(CELLS) * F.pow(F.lit(2), k).cast("int"))))["found"]
+    """The digests in which two sets of digests differ, recovered from sketches that double in size until they peel."""
+    first = F.greatest(F.lit(CELLS), F.floor((F.size(a) + F.size(b)) / 2).cast("int") + 1)
+    start = F.struct(F.lit(False).alias("whole"), F.expr(NONE).alias("found"), first.alias("size"))
+
+    def again(acc: Column, _: Column) -> Column:
+        tried = _let(_attempt(a, b, acc["size"]), lambda t: F.struct(t["whole"].alias("whole"), t["found"].alias("found"), (acc["size"] * 2).alias("size")))
+        return F.when(acc["whole"], acc).otherwise(tried)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS)), start, again)["found"]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -137,11 +115,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprint(of: Column) -> Column:
-    """The first sketch as text: its counts and sums in hexadecimal, after the number of paragraphs."""
-    shown = _let(
-        sketch(of, F.lit(CELLS)),
-        lambda s: F.array_join(F.zip_with(s["counts"], s["sums"], lambda n, d: F.concat(F.lower(F.hex(n)), F.lit("."), F.lower(F.hex(d)))), ","),
-    )
+    """The sketch of the least size as text: the number of paragraphs, and the cells in hexadecimal."""
+    shown = F.array_join(F.transform(sketch(of, F.lit(CELLS)), lambda d: F.lower(F.hex(d))), ".")
     return F.concat(F.size(of).cast("string"), F.lit(":"), shown)
 
 
