@@ -52,9 +52,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: st
     if by != "dot":
         return ranked.select(F.col("_qid").alias(query_id), F.col("_vid").alias(vector_id), "score")
     keep = F.col("score") >= least
-    if fallback is not None:
-        best = F.max("score").over(W.partitionBy("_qid"))
-        keep = keep | ((F.col("_rank") == 1) & (best < least) & (F.col("score") > fallback))
+    if fallback is not None:  # the first is below the bound only if all are
+        keep = keep | ((F.col("_rank") == 1) & (F.col("score") > fallback))
     return ranked.filter(keep).select(F.col("_qid").alias(query_id), F.col("_vid").alias(vector_id), "score")
 
 
