@@ -177,7 +177,8 @@ def repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
         "windows",
     )
     first = full.groupBy("full").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id")
-    return texts, rows.join(firsts, "digest"), full.join(first.drop("last_id"), "full")
+    # written, so that the join deals both sides itself and a hot window's rows can be split
+    return texts, rows.join(firsts, "digest"), full.join(materialize(first.drop("last_id"), "firsts"), "full")
 
 
 def remove_repeated(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
