@@ -93,6 +93,8 @@ def _grams(word: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 def _weighed(word: np.ndarray, length: np.ndarray, n: int) -> dict[int, int]:
     out: dict[int, int] = {}
+    if not len(word):
+        return out
     for h, w in zip(*(x.tolist() for x in _grams(word, length, n)), strict=True):
         out[h] = out.get(h, 0) + w
     return out
