@@ -100,13 +100,13 @@ def judge(
     leaves = counted.join(seen, list(LEVELS), "left").fillna(0, ["labelled", "bad"])
     tree = materialize(_generalised(leaves, branches), "templates")
 
-    nodes = tree.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("l0"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b0"))
-    root = nodes.select(F.col("l0").alias("pl"), F.col("b0").alias("pb"), ((F.col("b0") + 0.5) / (F.col("l0") + 1.0)).alias("purity"))
-    known = root
+    total, bad = tree.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()  # the root, one row
+    root = {"pl": F.lit(total), "pb": F.lit(bad), "purity": F.lit((bad + 0.5) / (total + 1.0))}
+    known = None
     for depth in range(1, 5):
         keys = list(LEVELS[:depth])
         here = tree.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        both = here.join(known, keys[:-1]) if depth > 1 else here.crossJoin(F.broadcast(known))  # known is one row there
+        both = here.withColumns(root) if known is None else here.join(known, keys[:-1])
         share = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
         gap = F.abs(F.col("b") - share * F.col("l"))
         differs = gap * gap > critical * critical * share * (1 - share) * F.col("l")
