@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, and on the awkward ones: nulls, empties, repeats, ties, clashing columns."""
 
 import hashlib
+import os
 import re
 from collections import defaultdict
 
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisift.llm import bpe, decontaminate, fingerprints, html_text, ngram_join, pii, quality, sharding, substring_dedup, url_filter
-from verisift.llm.queries import RULES, vocabulary
+from verisift.llm.oracles import ORACLES
+from verisift.llm.queries import QUERIES, RULES, vocabulary
 
 DOCS = "doc_id long, text string, id string, digest string, bands string"
 
@@ -221,6 +223,27 @@ def test_pii_collisions(spark):
     assert len(set(got)) == len(set(given)) and not set(got) & set(given)
 
 
+def test_pii_more_entities_than_surrogates(spark):
+    names = [f"Mr {x}{y}{z}" for x in "ABCDEFGHIJKLM" for y in "aeiouy" for z in "bdfgklmn"]  # above the 400 joined family names
+    mails = [f"{c}@b.co" for c in "abcdefghijklmnopqrstuvwxyz"]
+    got = [r.text for r in pii.replace(frame(spark, names + mails), "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(got) and not set(got) & set(names + mails)
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+(-[A-Z][a-z]+)+", x) for x in got[: len(names)])
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in got[len(names) :])
+
+
+def test_oracles(spark):
+    duckdb = pytest.importorskip("duckdb")
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test data")
+    for name, sql in ORACLES.items():
+        db = duckdb.connect()
+        db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+        want = db.execute(sql).df()
+        got = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
+        assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 def test_sharding(spark, texts):
     got = sharding.assign(frame(spark, texts), 3000).collect()
     sizes = defaultdict(int)

@@ -1 +1,14 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL of the queries that SQL can express over whole tables."""
+
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS p FROM w),
+windows AS (SELECT doc_id, p, array_to_string(words[p:p + 12], ' ') AS k FROM starts),
+firsts AS (SELECT k, MIN(doc_id) AS first_id FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT a.doc_id, unnest(range(a.p, a.p + 13)) AS i FROM windows a JOIN firsts f ON a.k = f.k WHERE f.first_id < a.doc_id),
+each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+told AS (SELECT e.doc_id, COUNT(g.i) AS n_removed, string_agg(e.word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS kept
+FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, COALESCE(t.n_removed, 0) AS n_removed, sha256(COALESCE(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN told t ON w.doc_id = t.doc_id""",
+}
