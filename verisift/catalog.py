@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verisift.functions import text, vectors
@@ -141,9 +142,9 @@ SELECT CAST(s AS VARCHAR) AS source_id, ROUND((0.79 * GREATEST(0.1 * n, 10) + co
 def source_confidence(spark, sf_dir):
     claims = flag_claims(spark, sf_dir)
     per = claims.groupBy("source_id").agg(F.count("*").alias("total"), F.sum((F.col("value") == "N").cast("long")).alias("correct"))
-    n = claims.agg(F.count("*").alias("n"))
+    per = per.withColumn("n", F.sum("total").over(W.partitionBy(F.lit(0))))  # a row for each source
     conf = fusion.updated_confidence(fusion.prior_confidence(F.lit(2)), F.col("correct"), F.col("total"), F.col("n"))
-    return per.crossJoin(F.broadcast(n)).select("source_id", F.round(conf, 6).alias("confidence"))  # one row
+    return per.select("source_id", F.round(conf, 6).alias("confidence"))
 
 
 @register("SELECT l_orderkey, l_partkey, l_quantity, CAST(1.0 AS DOUBLE) AS score FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 45")
