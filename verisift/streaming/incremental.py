@@ -84,7 +84,7 @@ def decayed_scores(claims: DataFrame, batch: str = "batch") -> DataFrame:
 
 def delta(claims: DataFrame, last: DataFrame, query_id: str = "query_id") -> DataFrame:
     """Rows newer than what each query has seen; ``last``: (query_id, batch_ts), one row a query."""
-    return claims.crossJoin(F.broadcast(last.withColumnRenamed("batch_ts", "_seen"))).filter(F.col("batch_ts") > F.col("_seen")).drop("_seen")
+    return claims.join(last.withColumnRenamed("batch_ts", "_seen"), F.col("batch_ts") > F.col("_seen")).drop("_seen")
 
 
 def snapshots(events: DataFrame, key: str = "entity") -> DataFrame:
