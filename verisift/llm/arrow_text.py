@@ -8,7 +8,8 @@ Chunks are cut at document ends, near ``CHUNK`` bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,3 +126,18 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, breaks: np.n
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def trimmed(run: Callable) -> Callable:
+    """``run`` over record batches, giving the memory that its arrays had back to the system at the end of each task, as workers live on."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task

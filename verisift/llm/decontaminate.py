@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.arrow_text import PUNCT, chunks, mix
+from verisift.llm.arrow_text import PUNCT, chunks, mix, trimmed
 
 RADIUS, BLOCKS, SLICE = 3, 4, 20_000
 #: Steps of the ladder, and its largest window; longer items stand with several.
 STEP, LARGEST = 1.25, 256
+#: Places of a document whose running sums are held at a time, so a long one takes no more memory.
+STRIP = 1 << 13
 
 
 @dataclass
@@ -61,9 +63,9 @@ def weights(length: np.ndarray) -> np.ndarray:
 
 def running(word: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Running sums of the 64 signed bits of each word."""
-    bits = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+    bits = np.unpackbits(np.ascontiguousarray(word).view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
     out = np.zeros((len(word) + 1, 64), np.int32)
-    np.cumsum((2 * bits - 1) * weights(length)[:, None].astype(np.int32), axis=0, out=out[1:])
+    np.cumsum((2 * bits - 1) * weights(length)[:, None].astype(np.int8), axis=0, dtype=np.int32, out=out[1:])
     return out
 
 
@@ -150,28 +152,36 @@ def near_prints(fp: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(found)) if places else (np.zeros(0, int), np.zeros(0, int))
 
 
+def _near_places(word: np.ndarray, letters: np.ndarray, index: Index) -> Iterator[tuple[Size, int, int]]:
+    """(size, place, item window) within the radius, strip by strip; strips overlap by a window, so none is lost."""
+    for a in range(0, len(word), STRIP):
+        b = a + STRIP + LARGEST - 1
+        sums = running(word[a:b], letters[a:b])
+        for size in index.sizes:
+            for place, window in zip(*(x.tolist() for x in near_prints(prints(sums[: STRIP + size.words], size.words), size)), strict=True):
+                yield size, a + place, window
+
+
 def _hits(chunk, index: Index, n: int, num: int, den: int) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(row, item) -> (shared weight, all weight, word) of the best verified place."""
     letters = chunk.end - chunk.start
-    sums = running(chunk.word, letters)
     tried: set[tuple[int, int]] = set()
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for size in index.sizes:
-        for place, window in zip(*(x.tolist() for x in near_prints(prints(sums, size.words), size)), strict=True):
-            row = int(np.searchsorted(chunk.first, place, "right")) - 1
-            first, last = int(chunk.first[row]), int(chunk.first[row + 1])
-            item = int(size.item[window])
-            at = max(first, place - int(size.offset[window]))
-            end = min(last, at + int(index.length[item]))
-            if place + size.words > last or (at, item) in tried:
-                continue
-            tried.add((at, item))
-            here, there = _weighed(chunk.word[at:end], letters[at:end], n), index.grams[item]
-            shared = sum(min(w, there.get(h, 0)) for h, w in here.items())
-            union = sum(here.values()) + sum(there.values()) - shared
-            old = best.get((row, item), (0, 1, 0))
-            if den * shared >= num * union and shared * old[1] > old[0] * union:
-                best[row, item] = (shared, union, at - first)
+    for size, place, window in _near_places(chunk.word, letters, index):
+        row = int(np.searchsorted(chunk.first, place, "right")) - 1
+        first, last = int(chunk.first[row]), int(chunk.first[row + 1])
+        item = int(size.item[window])
+        at = max(first, place - int(size.offset[window]))
+        end = min(last, at + int(index.length[item]))
+        if place + size.words > last or (at, item) in tried:
+            continue
+        tried.add((at, item))
+        here, there = _weighed(chunk.word[at:end], letters[at:end], n), index.grams[item]
+        shared = sum(min(w, there.get(h, 0)) for h, w in here.items())
+        union = sum(here.values()) + sum(there.values()) - shared
+        old = best.get((row, item), (0, 1, 0))
+        if den * shared >= num * union and shared * old[1] > old[0] * union:
+            best[row, item] = (shared, union, at - first)
     return best
 
 
@@ -223,7 +233,7 @@ def find_leaks(
 
     out = None
     for index in _indexes(benchmark, n, item_col, "text"):
-        part = plain.mapInArrow(finder(index), schema)
+        part = plain.mapInArrow(trimmed(finder(index)), schema)
         out = part if out is None else out.union(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -246,5 +256,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold:
         return run
 
     for index in _indexes(benchmark, n, item_col, "text"):
-        docs = docs.mapInArrow(keeper(index), docs.schema)
+        docs = docs.mapInArrow(trimmed(keeper(index)), docs.schema)
     return docs

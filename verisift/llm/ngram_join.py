@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.arrow_text import PUNCT, Chunk, chunks, mix, signed, spans_hash
+from verisift.llm.arrow_text import PUNCT, Chunk, chunks, mix, signed, spans_hash, trimmed
 from verisift.operators.components import connected_components
 from verisift.scratch import materialize
 
@@ -227,7 +227,7 @@ def near_duplicates(
     """
     bands, rows = choose_bands(threshold[0] / threshold[1], recall)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("row"), F.col(text_col).cast("string").alias("text"))
-    signed_ = materialize(plain.mapInArrow(_signature_rows(n, bands, rows), "id long, row long, digest long, check long, bands array<long>"), "signatures")
+    signed_ = materialize(plain.mapInArrow(trimmed(_signature_rows(n, bands, rows)), "id long, row long, digest long, check long, bands array<long>"), "signatures")
     known = signed_.filter("bands is not null and id is not null")
     classes = materialize(
         known.groupBy("digest", "check").agg(F.min(F.struct("id", "row", "bands")).alias("r")).select("digest", "check", "r.id", "r.row", "r.bands"), "classes"
@@ -244,11 +244,11 @@ def near_duplicates(
     key = ["band", "bucket", "p", "q"]
     schema = "band int, bucket long, p int, q int, id long, block int, row long, bands array<long>"
     opened = met.join(classes.select("id", "row", "bands"), "id").select(*key, "id", "block", "row", "bands")
-    opened = materialize(opened.repartition(*key).sortWithinPartitions(*key).mapInArrow(_open_rows, schema), "opened")
-    packed = plain.filter("id is not null").mapInArrow(_packed_rows, "id long, row long, packed binary")
+    opened = materialize(opened.repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(_open_rows), schema), "opened")
+    packed = plain.filter("id is not null").mapInArrow(trimmed(_packed_rows), "id long, row long, packed binary")
     full = opened.join(packed, ["id", "row"]).select(*key, "id", "block", "bands", "packed")
     verified = materialize(
-        full.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verified_rows(n, *threshold), "id long, links long, root long, partner long"), "links"
+        full.repartition(*key).sortWithinPartitions(*key).mapInArrow(trimmed(_verified_rows(n, *threshold)), "id long, links long, root long, partner long"), "links"
     )
     groups = connected_components(verified, "id", "root")
     links = verified.groupBy("id").agg(F.sum("links").alias("n_links"), F.min("partner").alias("partner_id"))

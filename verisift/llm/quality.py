@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.arrow_text import PUNCT, WHITE, chunks, mix, spans_hash
+from verisift.llm.arrow_text import PUNCT, WHITE, chunks, mix, spans_hash, trimmed
 from verisift.scratch import materialize
 
 BUCKETS, SHAPES = 1 << 16, 1 << 14
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, id_col: str
     marked = labels.select(F.col(id_col).cast("long").alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).dropna()
     sample = marked.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(labelled).toPandas()
     good, bad = (np.sort(sample.id[sample.good.astype(bool) == side].to_numpy()) for side in (True, False))
-    counts = _plain(docs, id_col, text_col).mapInArrow(_count_rows(good, bad), "place long, good long, bad long, raw long")
+    counts = _plain(docs, id_col, text_col).mapInArrow(trimmed(_count_rows(good, bad)), "place long, good long, bad long, raw long")
     table = counts.groupBy("place").agg(*(F.sum(c).alias(c) for c in ("good", "bad", "raw"))).toPandas().set_index("place")
     raw_rows = int(table.raw.get(-1, 0))
     table = table.reindex(range(SIZE), fill_value=0)
@@ -222,7 +222,7 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed: i
     """``(keys, model, bound)``: (id, log_ratio, key) of every row; rows whose key reaches the bound are the sample."""
     model = fit(docs, labels, labelled, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keys = materialize(_plain(docs, id_col, text_col).mapInArrow(_key_rows(shared, seed), "id long, log_ratio double, key double"), "keys")
+    keys = materialize(_plain(docs, id_col, text_col).mapInArrow(trimmed(_key_rows(shared, seed)), "id long, log_ratio double, key double"), "keys")
     return keys, shared, kth_largest(keys, keys.filter(F.col("log_ratio") > LIMIT).count())
 
 
@@ -242,4 +242,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed:
             _, keys = shared.value.keys(batch.column(at), batch.column(text), seed)
             yield batch.filter(pa.array(keys >= bound))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
