@@ -29,8 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verisift.llm.arrow_text import trimmed
+
 #: Words, and pieces of text, that a worker remembers.
-KEEP = 400_000
+KEEP = 100_000
 #: White space as the tokenizers library has it; str.split() also cuts at the characters of EXTRA.
 SPACE = regex.compile("[\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 EXTRA = regex.compile("[\x1c-\x1f]")
@@ -262,7 +264,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["id", "ids", "decoded"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(trimmed(run), "id long, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
