@@ -9,8 +9,9 @@ longest token ending there that is compatible with the last token of the prefix
 it follows, two tokens being compatible if their text encodes as these two
 (memoised; a sequence is the encoding of its text just if all neighbours are).
 
-Each worker keeps the encodings of words it has met, up to ``KEEP`` of them, and
-begins anew beyond.  Nothing is shuffled.
+Each worker keeps the encodings of words it has met, in two generations of up to
+``KEEP`` each: a full one replaces the one before, and what is met again moves
+over, so frequent words are never encoded twice.  Nothing is shuffled.
 
 Defined results: a null text counts as empty and has no tokens; very long texts
 and repeated rows need nothing special; other columns are left out.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from verisift.llm.arrow_text import trimmed
 
-#: Words, and pieces of text, that a worker remembers.
+#: Words, and pieces of text, that a worker remembers in a generation.
 KEEP = 100_000
 #: White space as the tokenizers library has it; str.split() also cuts at the characters of EXTRA.
 SPACE = regex.compile("[\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -157,15 +158,31 @@ class Trie:
         self.path = path
 
 
+class Memory:
+    """Packed ids by text, in two generations; see the module."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, texts: set[str]) -> list[str]:
+        """The texts that are not remembered; the others are in ``new`` from here on."""
+        absent = [t for t in texts if t not in self.new]
+        if len(self.new) + len(absent) > KEEP:
+            self.old, self.new = self.new, {}
+            absent = list(texts)
+        known = {t: self.old[t] for t in absent if t in self.old}
+        self.new.update(known)
+        return [t for t in absent if t not in known]
+
+
 class Codec:
     """Encodes and decodes texts; remembers words, and pieces of text between white space."""
 
     def __init__(self, source: str):
         self.v = Vocabulary(source)
         self.trie = Trie(self.v)
-        self.words: dict[str, bytes] = {}
-        self.packed: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
+        self.words, self.packed = Memory(), Memory()
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
@@ -186,18 +203,12 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the encodings of new pieces."""
-        fresh = [p for p in pieces if p not in self.packed]
-        if len(self.packed) + len(fresh) > KEEP:
-            self.packed, self.shown, fresh = {}, {}, list(pieces)
-        if len(self.words) > KEEP:
-            self.words = {}
-        words, names, packed, shown = self.words, self.v.names, self.packed, self.shown
-        words.update((t, array("I", [i]).tobytes()) for t, i in self.v.special.items())
-        cut = [self.cut(p) for p in fresh]
-        words.update((w, array("I", ids).tobytes()) for w, ids in self.trie.walk([w for w in {w for c in cut for w in c} if w not in words]))
-        for piece, found in zip(fresh, cut, strict=True):
-            ids = packed[piece] = words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])
-            shown[piece] = " ".join([names[i] for i in array("I", ids)])
+        cut = {p: self.cut(p) for p in self.packed.missing(pieces)}
+        fresh = self.words.missing({w for found in cut.values() for w in found})
+        words, special = self.words.new, self.v.special
+        words.update((w, array("I", [special[w]]).tobytes()) for w in fresh if w in special)
+        words.update((w, array("I", ids).tobytes()) for w, ids in self.trie.walk([w for w in fresh if w not in special]))
+        self.packed.new.update((p, words[found[0]] if len(found) == 1 else b"".join([words[w] for w in found])) for p, found in cut.items())
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -211,9 +222,10 @@ class Codec:
         """For every text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
         cut = [self.pieces(t or "") for t in texts]
         self.learn(set().union(*cut))
-        packed, shown = self.packed.__getitem__, self.shown.__getitem__
+        packed, names = self.packed.new.__getitem__, self.v.names.__getitem__
         for pieces in cut:
-            yield b"".join(map(packed, pieces)), " ".join(map(shown, pieces))
+            ids = b"".join(map(packed, pieces))
+            yield ids, " ".join(map(names, array("I", ids)))
 
 
 _codecs: dict[int, Codec] = {}
