@@ -141,6 +141,43 @@ def test_decontaminate(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def edited(item, op, at):
+    return [*item[:at], *{"replace": ["new"], "insert": ["new"], "delete": []}[op], *item[at + (op != "insert") :]]
+
+
+def brute_similarity(item, text):
+    """The best weighted Jaccard similarity of 5-grams over all spans of a text of at least 5 words."""
+    own, best = defaultdict(int), 0
+    for i in range(len(item) - 4):
+        own[tuple(item[i : i + 5])] += sum(map(len, item[i : i + 5]))
+    for a in range(len(text) - 4):
+        here, shared, every = defaultdict(int), 0, 0
+        for i in range(a, len(text) - 4):
+            gram = tuple(text[i : i + 5])
+            weight = sum(map(len, gram))
+            shared += weight if here[gram] + weight <= own[gram] else 0
+            here[gram] += weight
+            every += weight
+            best = max(best, shared / (every + sum(own.values()) - shared))
+    return best
+
+
+def leaks_by_brute_force(spark, items, copies):
+    """Found similarities, and brute force's, of (item, words) in a text of their own between other words."""
+    docs = [[*words(12, 500 + k), *copy, *words(12, 900 + k)] for k, (_, copy) in enumerate(copies)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(frame(spark, [" ".join(d) for d in docs]), bench).collect()}
+    want = {(k, i): s for k, (i, _) in enumerate(copies) if (s := brute_similarity(items[i], docs[k])) >= 0.8}
+    return got, want
+
+
+def test_decontaminate_edited_near_the_end(spark):
+    items = [words(n, 300 + n) for n in (45, 50, 56, 62)] + [[*words(20, 41), *words(20, 41)[5:], *words(9, 42)]]
+    copies = [(i, edited(t, op, at)) for i, t in enumerate(items) for op in ("replace", "insert", "delete") for at in (len(t) - 6, len(t) - 4)]
+    got, want = leaks_by_brute_force(spark, items, copies)
+    assert got == pytest.approx({pair: want[pair] for pair in got}) and len(got) > 20 and min(got.values()) < 0.9
+
+
 def test_near_prints_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.build_index([1], [" ".join(words(20, 1))], 5).sizes[0]

@@ -6,8 +6,9 @@ document a 64-bit SimHash of the words (weighted by length) slides at every size
 of the ladder; it comes from running sums, so a step costs the same at any size.
 Fingerprints are looked up by four blocks of 16 bits: two that differ in at
 most three bits agree in a block, so every pair within that radius is found.
-A hit is verified exactly, by the weighted Jaccard similarity of the word
-5-grams (weight: their letters) of the item and of the words at its place.
+A hit is an anchor: of all spans around it that can reach the threshold, of any
+length, the one with the best weighted Jaccard similarity of word 5-grams
+(weight: their letters) to the item decides, so words may be put in or missing.
 
 Documents are read once for each slice of ``SLICE`` items and nothing is
 shuffled but the verified hits.  The benchmark is the query set: it reaches the
@@ -35,6 +36,8 @@ RADIUS, BLOCKS, SLICE = 3, 4, 20_000
 STEP, LARGEST = 1.25, 256
 #: Places of a document whose running sums are held at a time, so a long one takes no more memory.
 STRIP = 1 << 13
+#: Spans that are compared at a time.
+MATRIX = 1 << 18
 
 
 @dataclass
@@ -49,11 +52,21 @@ class Size:
     begin: list[np.ndarray]
 
 
+@dataclass
+class Grams:
+    """The distinct n-grams of an item by hash: how often each stands in it and its weight; ``total`` weighs all."""
+
+    words: int
+    hashes: np.ndarray
+    times: np.ndarray
+    weight: np.ndarray
+    total: int
+
+
 @dataclass
 class Index:
     ids: np.ndarray
-    length: np.ndarray
-    grams: list[dict[int, int]]
+    grams: list[Grams]
     sizes: list[Size]
 
 
@@ -93,13 +106,12 @@ def _grams(word: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np
     return hashes, total[n:] - total[:-n]
 
 
-def _weighed(word: np.ndarray, length: np.ndarray, n: int) -> dict[int, int]:
-    out: dict[int, int] = {}
+def _weighed(word: np.ndarray, length: np.ndarray, n: int) -> Grams:
     if not len(word):
-        return out
-    for h, w in zip(*(x.tolist() for x in _grams(word, length, n)), strict=True):
-        out[h] = out.get(h, 0) + w
-    return out
+        return Grams(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+    hashes, weight = _grams(word, length, n)
+    own, first, times = np.unique(hashes, return_index=True, return_counts=True)
+    return Grams(len(word), own, times, weight[first], int((times * weight[first]).sum()))
 
 
 def build_index(ids: list[int], items: list[str | None], n: int) -> Index:
@@ -126,7 +138,7 @@ def build_index(ids: list[int], items: list[str | None], n: int) -> Index:
         order = [np.argsort(_block(fp, b), kind="stable") for b in range(BLOCKS)]
         begin = [np.searchsorted(_block(fp, b)[o], np.arange((1 << 16) + 1)) for b, o in enumerate(order)]
         sizes.append(Size(s, fp, np.array(item), np.array(offset), order, begin))
-    return Index(np.array(ids), length, [_weighed(w, l, n) for w, l in words], sizes)
+    return Index(np.array(ids), [_weighed(w, l, n) for w, l in words], sizes)
 
 
 def _block(fp: np.ndarray, block: int) -> np.ndarray:
@@ -162,29 +174,91 @@ def _near_places(word: np.ndarray, letters: np.ndarray, index: Index) -> Iterato
                 yield size, a + place, window
 
 
-def _hits(chunk, index: Index, n: int, num: int, den: int) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """(row, item) -> (shared weight, all weight, word) of the best verified place."""
+def _earlier(gram: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each place the place of the same n-gram as many times before as the item has it; -1 if there is none."""
+    order = np.argsort(gram, kind="stable")
+    same, at = gram[order], np.arange(len(gram))
+    begin = np.maximum.accumulate(np.where(np.concatenate([[True], same[1:] != same[:-1]]), at, 0))
+    many = times[same]
+    out = np.empty(len(gram), np.int64)
+    out[order] = np.where(at - begin >= many, order[np.maximum(at - many, 0)], -1)
+    return out
+
+
+def best_span(hashes: np.ndarray, weight: np.ndarray, item: Grams, num: int, den: int) -> tuple[int, int, int, int] | None:
+    """(shared weight, all weight, first n-gram, last n-gram) of the span of a text's n-grams that is most like the item, if any reaches num / den.
+
+    A best span begins and ends with n-grams of the item, and it weighs at most
+    den / num of the item; all such spans are compared.  An n-gram is shared no
+    more often than the item has it.
+    """
+    where = np.minimum(np.searchsorted(item.hashes, hashes), len(item.hashes) - 1)
+    at = np.flatnonzero(item.hashes[where] == hashes)
+    gram, own = where[at], weight[at]
+    most = np.minimum(np.bincount(gram, minlength=len(item.hashes)), item.times)
+    if den * int((most * item.weight).sum()) < num * item.total:
+        return None
+    total = np.concatenate([[0], np.cumsum(weight)])
+    back = _earlier(gram, item.times)
+    stop = np.searchsorted(total[at + 1], total[at] + den * item.total // num, "right")
+    step = max(1, MATRIX // int((stop - np.arange(len(at))).max()))
+    best = None
+    for a in range(0, len(at), step):
+        start = np.arange(a, min(a + step, len(at)))[:, None]
+        end = np.arange(a, int(stop[start].max()))[None, :]
+        shared = np.cumsum(own[end] * ((end >= start) & (back[end] < start)), axis=1)
+        union = np.where(end >= start, total[at[end] + 1] - total[at[start]] + item.total - shared, 1 << 62)
+        x, y = np.unravel_index(int((shared / union).argmax()), union.shape)
+        s, u = int(shared[x, y]), int(union[x, y])
+        if den * s >= num * u and (best is None or s * best[1] > best[0] * u):
+            best = s, u, int(at[a + x]), int(at[a + y])
+    return best
+
+
+def _hits(chunk, index: Index, n: int, num: int, den: int) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+    """(row, item) -> (shared weight, all weight, first word, words) of the best verified span."""
     letters = chunk.end - chunk.start
-    tried: set[tuple[int, int]] = set()
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    hashes = weight = total = None
     for size, place, window in _near_places(chunk.word, letters, index):
         row = int(np.searchsorted(chunk.first, place, "right")) - 1
         first, last = int(chunk.first[row]), int(chunk.first[row + 1])
         item = int(size.item[window])
-        at = max(first, place - int(size.offset[window]))
-        end = min(last, at + int(index.length[item]))
-        if place + size.words > last or (at, item) in tried:
+        grams = index.grams[item]
+        if place + size.words > last:
             continue
-        tried.add((at, item))
-        here, there = _weighed(chunk.word[at:end], letters[at:end], n), index.grams[item]
-        shared = sum(min(w, there.get(h, 0)) for h, w in here.items())
-        union = sum(here.values()) + sum(there.values()) - shared
-        old = best.get((row, item), (0, 1, 0))
-        if den * shared >= num * union and shared * old[1] > old[0] * union:
-            best[row, item] = (shared, union, at - first)
+        if grams.words < n:  # one n-gram, all of it
+            if (row, item) not in best and _grams(chunk.word[place : place + grams.words], letters[place : place + grams.words], n)[0][0] == grams.hashes[0]:
+                best[row, item] = grams.total, grams.total, place - first, grams.words
+            continue
+        if hashes is None:
+            hashes, weight = _grams(chunk.word, letters, n)
+            total = np.concatenate([[0], np.cumsum(weight)])
+        reach = den * grams.total // num
+        low = max(first, int(np.searchsorted(total, total[place + 1] - reach, "left")))
+        high = min(last - n + 1, int(np.searchsorted(total, total[place + size.words - n] + reach, "right")) - 1)
+        runs.setdefault((row, item), []).append((low, high))
+    for (row, item), spans in runs.items():
+        for low, high in _united(spans):
+            found = best_span(hashes[low:high], weight[low:high], index.grams[item], num, den)
+            old = best.get((row, item))
+            if found and (old is None or found[0] * old[1] > old[0] * found[1]):
+                best[row, item] = found[0], found[1], low + found[2] - int(chunk.first[row]), found[3] - found[2] + n
     return best
 
 
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap as one, in order."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and low < out[-1][1]:
+            low, high = out[-1][0], max(high, out.pop()[1])
+        if high > low:
+            out.append((low, high))
+    return out
+
+
 def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
     """The items in slices of a fixed number, in the order of their ids."""
     plain = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
@@ -210,7 +284,7 @@ def _indexes(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> Iterat
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
 ) -> DataFrame:
-    """``(id_col, item_col, similarity, first_word, n_words)``: each item that a row holds, at its best place."""
+    """``(id_col, item_col, similarity, first_word, n_words)``: each item that a row holds, at its best place; ``n_words`` of the row are its copy."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, item long, similarity double, first_word long, n_words long"
 
@@ -222,10 +296,10 @@ def find_leaks(
                     found = _hits(chunk, have, n, *threshold)
                     if found:
                         rows, items = zip(*found, strict=True)
-                        shared, union, at = (np.array(x) for x in zip(*found.values(), strict=True))
+                        shared, union, at, many = (np.array(x) for x in zip(*found.values(), strict=True))
                         items = np.array(items)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array(np.array(rows) + chunk.lo)), pa.array(have.ids[items]), pa.array(shared / union), pa.array(at), pa.array(have.length[items])],
+                            [batch.column(0).take(pa.array(np.array(rows) + chunk.lo)), pa.array(have.ids[items]), pa.array(shared / union), pa.array(at), pa.array(many)],
                             ["id", "item", "similarity", "first_word", "n_words"],
                         )
 
