@@ -178,6 +178,15 @@ def test_decontaminate_edited_near_the_end(spark):
     assert got == pytest.approx({pair: want[pair] for pair in got}) and len(got) > 20 and min(got.values()) < 0.9
 
 
+def test_decontaminate_edited_anywhere(spark):
+    rng = np.random.default_rng(3)
+    items = [words(n, 400 + n) for n in (7, 16, 33, 45, 59, 130, 300)]
+    copies = [(i, edited(t, op, int(at))) for i, t in enumerate(items) for op in ("replace", "insert", "delete") for at in rng.integers(0, len(t), 4)]
+    copies += [(i, edited(edited(t, op, len(t) // 3), op, 2 * len(t) // 3)) for i, t in enumerate(items) for op in ("replace", "insert", "delete")]
+    got, want = leaks_by_brute_force(spark, items, copies)
+    assert got == pytest.approx(want) and len(want) > 40 and min(want.values()) < 0.82
+
+
 def test_near_prints_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.build_index([1], [" ".join(words(20, 1))], 5).sizes[0]

@@ -1,9 +1,12 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
-
-Sizes of windows are a geometric ladder; an item stands with the windows of
-the largest size it holds, at its start, middle and end.  Over each
-document a 64-bit SimHash of the words (weighted by length) slides at every size
-of the ladder; it comes from running sums, so a step costs the same at any size.
+"""Benchmark decontamination by SimHash of windows.
+
+Windows are as long as an n-gram, or as a shorter item.  An item stands with so
+many of them, those that fewest items hold first, that together they weigh more
+than the share of it that a copy at the threshold can lack: any such copy holds
+one of them free of edits, whose SimHash is equal, so no pair at or above the
+threshold is lost (recall 1 but for the verification's 64-bit hashes).  Over each
+document a 64-bit SimHash of the words (weighted by length) slides; it comes from
+running sums.
 Fingerprints are looked up by four blocks of 16 bits: two that differ in at
 most three bits agree in a block, so every pair within that radius is found.
 A hit is an anchor: of all spans around it that can reach the threshold, of any
@@ -32,8 +35,6 @@ from pyspark.sql import functions as F
 from verisift.llm.arrow_text import PUNCT, chunks, mix, trimmed
 
 RADIUS, BLOCKS, SLICE = 3, 4, 20_000
-#: Steps of the ladder, and its largest window; longer items stand with several.
-STEP, LARGEST = 1.25, 256
 #: Places of a document whose running sums are held at a time, so a long one takes no more memory.
 STRIP = 1 << 13
 #: Spans that are compared at a time.
@@ -42,22 +43,22 @@ MATRIX = 1 << 18
 
 @dataclass
 class Size:
-    """Fingerprints of all item windows of one size, and an index by block."""
+    """Fingerprints of the item windows of one size, and an index by block."""
 
     words: int
     prints: np.ndarray
     item: np.ndarray
-    offset: np.ndarray
     order: list[np.ndarray]
     begin: list[np.ndarray]
 
 
 @dataclass
 class Grams:
-    """The distinct n-grams of an item by hash: how often each stands in it and its weight; ``total`` weighs all."""
+    """The distinct n-grams of an item by hash: where each stands first, how often, and its weight; ``total`` weighs all."""
 
     words: int
     hashes: np.ndarray
+    first: np.ndarray
     times: np.ndarray
     weight: np.ndarray
     total: int
@@ -88,14 +89,6 @@ def prints(sums: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(sums[size:] > sums[:-size], axis=1).view(np.uint64).ravel()
 
 
-def _ladder(lengths: np.ndarray) -> list[int]:
-    sizes, at = [], float(max(1, lengths.min(initial=LARGEST)))
-    while at <= min(LARGEST, lengths.max(initial=0)):
-        sizes.append(round(at))
-        at = max(at * STEP, at + 1)
-    return sizes
-
-
 def _grams(word: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and weights of the n-grams of a run of words; one n-gram if they are fewer."""
     n = min(n, len(word))
@@ -108,37 +101,43 @@ def _grams(word: np.ndarray, length: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 def _weighed(word: np.ndarray, length: np.ndarray, n: int) -> Grams:
     if not len(word):
-        return Grams(0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+        return Grams(0, np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), 0)
     hashes, weight = _grams(word, length, n)
     own, first, times = np.unique(hashes, return_index=True, return_counts=True)
-    return Grams(len(word), own, times, weight[first], int((times * weight[first]).sum()))
+    return Grams(len(word), own, first, times, weight[first], int((times * weight[first]).sum()))
+
+
+def _anchors(item: Grams, held: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Distinct n-grams of an item, by number, that outweigh all that a copy at num / den can lack; those that fewest items hold first."""
+    weight = item.times * item.weight
+    order = np.lexsort((-weight, held))
+    return order[: int(np.searchsorted(den * np.cumsum(weight[order]), (den - num) * item.total, "right")) + 1]
 
 
-def build_index(ids: list[int], items: list[str | None], n: int) -> Index:
+def build_index(ids: list[int], items: list[str | None], n: int, num: int = 4, den: int = 5) -> Index:
     words = []
     for chunk in chunks(pa.array(items, pa.large_string()), PUNCT, lower=True):
         for i in range(chunk.hi - chunk.lo):
             a, b = chunk.first[i], chunk.first[i + 1]
             words.append((chunk.word[a:b], (chunk.end - chunk.start)[a:b]))
-    length = np.array([len(w) for w, _ in words], np.int64)
-    ladder = _ladder(length[length > 0])
-    spans = {s: ([], [], []) for s in ladder}
-    for i, (word, letters) in enumerate(words):
+    grams = [_weighed(w, letters, n) for w, letters in words]
+    every, many = np.unique(np.concatenate([np.zeros(0, np.uint64), *(g.hashes for g in grams)]), return_counts=True)
+    spans: dict[int, tuple[list, list]] = {}
+    for i, ((word, letters), own) in enumerate(zip(words, grams, strict=True)):
         if not len(word):
             continue
-        size = max(s for s in ladder if s <= len(word))
-        own = prints(running(word, letters), size)
-        last = len(word) - size
-        for offset in sorted({0, last // 2, last, *range(0, last + 1, size)}):
-            for store, x in zip(spans[size], (own[offset], i, offset), strict=True):
+        size = min(n, len(word))
+        fps = prints(running(word, letters), size)
+        for g in _anchors(own, many[np.searchsorted(every, own.hashes)], num, den):
+            for store, x in zip(spans.setdefault(size, ([], [])), (fps[own.first[g]], i), strict=True):
                 store.append(x)
     sizes = []
-    for s, (fp, item, offset) in spans.items():
+    for s, (fp, item) in sorted(spans.items()):
         fp = np.array(fp, np.uint64)
         order = [np.argsort(_block(fp, b), kind="stable") for b in range(BLOCKS)]
         begin = [np.searchsorted(_block(fp, b)[o], np.arange((1 << 16) + 1)) for b, o in enumerate(order)]
-        sizes.append(Size(s, fp, np.array(item), np.array(offset), order, begin))
-    return Index(np.array(ids), [_weighed(w, l, n) for w, l in words], sizes)
+        sizes.append(Size(s, fp, np.array(item), order, begin))
+    return Index(np.array(ids), grams, sizes)
 
 
 def _block(fp: np.ndarray, block: int) -> np.ndarray:
@@ -166,8 +165,9 @@ def near_prints(fp: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
 
 def _near_places(word: np.ndarray, letters: np.ndarray, index: Index) -> Iterator[tuple[Size, int, int]]:
     """(size, place, item window) within the radius, strip by strip; strips overlap by a window, so none is lost."""
+    longest = max(size.words for size in index.sizes)
     for a in range(0, len(word), STRIP):
-        b = a + STRIP + LARGEST - 1
+        b = a + STRIP + longest - 1
         sums = running(word[a:b], letters[a:b])
         for size in index.sizes:
             for place, window in zip(*(x.tolist() for x in near_prints(prints(sums[: STRIP + size.words], size.words), size)), strict=True):
@@ -273,10 +273,10 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[
         yield ids, items
 
 
-def _indexes(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> Iterator:
+def _indexes(benchmark: DataFrame, n: int, threshold: tuple[int, int], id_col: str, text_col: str) -> Iterator:
     context = benchmark.sparkSession.sparkContext
     for ids, items in _slices(benchmark, id_col, text_col):
-        index = build_index(ids, items, n)
+        index = build_index(ids, items, n, *threshold)
         if index.sizes:
             yield context.broadcast(index)
 
@@ -306,7 +306,7 @@ def find_leaks(
         return run
 
     out = None
-    for index in _indexes(benchmark, n, item_col, "text"):
+    for index in _indexes(benchmark, n, threshold, item_col, "text"):
         part = plain.mapInArrow(trimmed(finder(index)), schema)
         out = part if out is None else out.union(part)
     if out is None:
@@ -329,6 +329,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold:
 
         return run
 
-    for index in _indexes(benchmark, n, item_col, "text"):
+    for index in _indexes(benchmark, n, threshold, item_col, "text"):
         docs = docs.mapInArrow(trimmed(keeper(index)), docs.schema)
     return docs
