@@ -116,6 +116,15 @@ def test_url_templates_reject_impure(spark):
     assert got == {("bad", "block"), ("good", "allow")}
 
 
+def test_url_templates_below_the_second_segment(spark):
+    slugs = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(150)]
+    urls = [f"http://h.io/a/b/{s}/x/{end}" for s in slugs for end in ("comments", "article")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = {(r.path.split("/")[-1], r.verdict) for r in url_filter.judge(pages, labels, []).collect()}
+    assert got == {("comments", "block"), ("article", "allow")}
+
+
 EDGE = ["", None, "ab'S don't I'LL", "ΑΣ ΣΑΣ", "e\u0301 x\x1cy z\x85w", "<|endoftext|>a <|startoftext|>", "</w> a</w>b", "İ ẞ 12a8 ½", "日本語 😀!!! 'S'T", "ab" * 400]
 
 

@@ -2,6 +2,7 @@
 
 Each host is a tree of path templates.  Digits in a segment become ``#``; a
 node with more than ``branches`` children has them all generalised to ``*``.
+The tree is made level by level, over all segments, until no node has children.
 Going down from the root, a node's labelled purity (its share of bad labels) is
 smoothed towards its parent's; a node whose share doesn't differ from its
 parent's by a two-proportion test is merged into it and takes its purity.
@@ -9,7 +10,8 @@ Templates whose purity reaches the limit are rejected.  Explicit rules on (host
 suffix, path prefix) go before all that, the longest first.
 
 Pages are aggregated to templates at once, so a hot host is combined before any
-shuffle; only templates are joined, then the rejected ones with the pages.
+shuffle; only templates are joined, then the rejected ones with the pages.  A
+level takes a few jobs and only paths below labelled nodes go on to the next.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and is judged as such; pages without labels count as pages only; a label with a
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 from verisift.scratch import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = ("host", "s1", "s2", "s3")
 
 
 @dataclass(frozen=True)
@@ -57,22 +58,43 @@ def rule_match(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, C
     return text, verdict
 
 
-def templates(path: Column) -> list[Column]:
-    """The first two segments and the rest, with digits generalised; empty where there is none."""
-    shaped = F.regexp_replace(path, "[0-9]+", "#")
-    parts = F.filter(F.split(shaped, "/"), lambda x: x != "")
-    rest = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts), F.lit(1))), "/")
-    return [F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.coalesce(F.get(parts, F.lit(1)), F.lit("")), rest]
+def shape(path: Column) -> Column:
+    """The path's segments with digits generalised, joined by slashes; empty segments are left out."""
+    parts = F.split(F.regexp_replace(path, "[0-9]+", "#"), "/")
+    return F.array_join(F.filter(parts, lambda x: x != ""), "/")
 
 
-def _generalised(leaves: DataFrame, branches: int) -> DataFrame:
-    """Replace the children of wide nodes by one wildcard, level by level; keeps the literal columns as l1.."""
-    out = leaves.select("*", *(F.col(c).alias("l" + c[1:]) for c in LEVELS[1:]))
-    for depth in (1, 2, 3):
-        above = list(LEVELS[:depth])
-        wide = out.select(*above, LEVELS[depth]).distinct().groupBy(*above).agg(F.count("*").alias("_n")).filter(F.col("_n") > branches).drop("_n")
-        out = out.join(wide.withColumn("_wide", F.lit(True)), above, "left").withColumn(LEVELS[depth], F.when(F.col("_wide"), "*").otherwise(F.col(LEVELS[depth]))).drop("_wide")
-    return out
+def _differs(labelled: Column, bad: Column, share: Column, critical: float) -> Column:
+    gap = F.abs(bad - share * labelled)
+    return gap * gap > critical * critical * share * (1 - share) * labelled
+
+
+def _children(leaves: DataFrame, branches: int) -> DataFrame:
+    """(node, child, name): the children of the open nodes, each with the name it has in the template."""
+    each = leaves.groupBy("node", "child").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    many = each.groupBy("node").agg(F.count("*").alias("_n"))
+    return each.join(many, "node").withColumn("name", F.when(F.col("_n") > branches, "*").otherwise(F.col("child"))).drop("_n")
+
+
+def _descend(leaves: DataFrame, depth: int, branches: int, smoothing: float, critical: float) -> DataFrame:
+    """The leaves one level further down: their node, its labels and its purity; ``open`` while there is more to tell.
+
+    A path that has ended has the empty child.  Below a node without labels every
+    purity is that node's, so its leaves are done.
+    """
+    parts = F.split("shape", "/")
+    leaves = leaves.withColumn("child", F.coalesce(F.get(parts, F.lit(depth)), F.lit("")))
+    children = _children(leaves, branches)
+    nodes = leaves.groupBy("node").agg(F.first("pl").alias("pl"), F.first("pb").alias("pb"), F.first("purity").alias("purity"))
+    named = children.groupBy("node", "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).join(nodes, "node")
+    differs = _differs(F.col("l"), F.col("b"), F.col("pb") / F.greatest(F.col("pl"), F.lit(1)), critical)
+    own = (F.col("b") + smoothing * F.col("purity")) / (F.col("l") + smoothing)
+    known = named.select("node", "name", F.col("l").alias("pl"), F.col("b").alias("pb"), F.when(differs, own).otherwise(F.col("purity")).alias("purity"))
+    told = children.select("node", "child", "name").join(known, ["node", "name"])
+    below = leaves.drop("pl", "pb", "purity").join(told, ["node", "child"])
+    return below.select(
+        "host", "shape", F.concat_ws("/", "node", "name").alias("node"), "labelled", "bad", "pl", "pb", "purity", ((F.col("child") != "") & (F.col("pl") > 0)).alias("open")
+    )
 
 
 def judge(
@@ -90,32 +112,30 @@ def judge(
     """``(id_col, host, path, rule, verdict)`` for every page; labels mark pages by id as good, or not (quality 0 or toxic 1)."""
     host, path = split_url(F.col(url_col))
     cut = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    shaped = cut.select("_id", "host", "path", *(t.alias(c) for t, c in zip(templates(F.col("path")), LEVELS[1:], strict=True)))
+    shaped = cut.select("_id", "host", "path", shape(F.col("path")).alias("shape"))
     marks = (
         labels.select(F.col(label_col).alias("_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long").alias("bad"))
         .dropna().groupBy("_id").agg(F.max("bad").alias("bad"))
     )
-    counted = shaped.groupBy(*LEVELS).agg(F.count("*").alias("pages"))
-    seen = shaped.select("_id", *LEVELS).join(marks, "_id").groupBy(*LEVELS).agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
-    leaves = counted.join(seen, list(LEVELS), "left").fillna(0, ["labelled", "bad"])
-    tree = materialize(_generalised(leaves, branches), "templates")
+    counted = shaped.select("host", "shape").distinct()
+    seen = shaped.select("_id", "host", "shape").join(marks, "_id").groupBy("host", "shape").agg(F.count("*").alias("labelled"), F.sum("bad").alias("bad"))
+    leaves = materialize(counted.join(seen, ["host", "shape"], "left").fillna(0, ["labelled", "bad"]), "leaves")
 
-    total, bad = tree.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()  # the root, one row
+    total, bad = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()  # the root, one row
     root = {"pl": F.lit(total), "pb": F.lit(bad), "purity": F.lit((bad + 0.5) / (total + 1.0))}
-    known = None
-    for depth in range(1, 5):
-        keys = list(LEVELS[:depth])
-        here = tree.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        both = here.withColumns(root) if known is None else here.join(known, keys[:-1])
-        share = F.col("pb") / F.greatest(F.col("pl"), F.lit(1))
-        gap = F.abs(F.col("b") - share * F.col("l"))
-        differs = gap * gap > critical * critical * share * (1 - share) * F.col("l")
-        own = (F.col("b") + smoothing * F.col("purity")) / (F.col("l") + smoothing)
-        known = both.select(*keys, F.col("l").alias("pl"), F.col("b").alias("pb"), F.when(differs, own).otherwise(F.col("purity")).alias("purity"))
-    rejected = tree.select("host", *(F.col("l" + c[1:]).alias("l" + c[1:]) for c in LEVELS[1:]), *LEVELS[1:]).join(
-        known.filter(F.col("purity") >= limit).select(*LEVELS), list(LEVELS)
-    )
-    rejected = rejected.select("host", *(F.col("l" + c[1:]).alias(c) for c in LEVELS[1:]), F.lit("block").alias("_method"))
-    told = shaped.join(materialize(rejected, "rejected"), list(LEVELS), "left")
+    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumns(root)
+    differs = _differs(F.col("l"), F.col("b"), F.col("pb") / F.greatest(F.col("pl"), F.lit(1)), critical)
+    own = (F.col("b") + smoothing * F.col("purity")) / (F.col("l") + smoothing)
+    known = hosts.select("host", F.col("l").alias("pl"), F.col("b").alias("pb"), F.when(differs, own).otherwise(F.col("purity")).alias("purity"))
+    level = materialize(leaves.join(known, "host").select("*", F.col("host").alias("node"), (F.col("pl") > 0).alias("open")), "level")
+    rejected, depth = None, 0
+    while True:
+        done = level.filter(~F.col("open") & (F.col("purity") >= limit)).select("host", "shape")
+        rejected = done if rejected is None else rejected.union(done)
+        if level.filter("open").isEmpty():
+            break
+        level = materialize(_descend(level.filter("open"), depth, branches, smoothing, critical), "level")
+        depth += 1
+    told = shaped.join(materialize(rejected.withColumn("_method", F.lit("block")), "rejected"), ["host", "shape"], "left")
     text, verdict = rule_match(F.col("host"), F.col("path"), rules)
     return told.select(F.col("_id").alias(id_col), "host", "path", text.alias("rule"), F.coalesce(verdict, F.col("_method"), F.lit("allow")).alias("verdict"))
