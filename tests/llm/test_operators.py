@@ -125,6 +125,20 @@ def test_url_templates_below_the_second_segment(spark):
     assert got == {("comments", "block"), ("article", "allow")}
 
 
+def test_url_templates_keep_sections_that_differ(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(100)]
+    odd, urls, marks = {"ab", "bc"}, [], []
+    for host, rest in (("good.io", 1), ("bad.io", 0)):  # the quality of all sections but the odd
+        for k, name in enumerate(names):
+            many = 40 if name in odd else 12 if k % 2 else 1  # sections of one page are variable parts
+            marks += [(len(urls) + i, 1 - rest if name in odd else rest, 0) for i in range(many)]
+            urls += [f"http://{host}/{name}/{'abcdefghijkl'[i % 12]}x" for i in range(many)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    for r in url_filter.judge(pages, labels, []).collect():
+        assert r.verdict == ("block" if (r.host == "bad.io") != (r.path.split("/")[1] in odd) else "allow")
+
+
 EDGE = ["", None, "ab'S don't I'LL", "ΑΣ ΣΑΣ", "e\u0301 x\x1cy z\x85w", "<|endoftext|>a <|startoftext|>", "</w> a</w>b", "İ ẞ 12a8 ½", "日本語 😀!!! 'S'T", "ab" * 400]
 
 

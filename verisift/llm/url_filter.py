@@ -1,7 +1,9 @@
 """URL filters from path-template trees, on DataFrame functions alone.
 
-Each host is a tree of path templates.  Digits in a segment become ``#``; a
-node with more than ``branches`` children has them all generalised to ``*``.
+Each host is a tree of path templates.  Digits in a segment become ``#``; of a
+node with more than ``branches`` children, those with too few labels to tell, or
+whose share of bad ones the two-proportion test can't tell from their siblings',
+are generalised to ``*``; the others keep templates of their own at any fan-out.
 The tree is made level by level, over all segments, until no node has children.
 Going down from the root, a node's labelled purity (its share of bad labels) is
 smoothed towards its parent's; a node whose share doesn't differ from its
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 from verisift.scratch import materialize
 
+#: Labels that a child of a wide node needs to keep its own template.
+SUPPORT = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,11 +73,18 @@ def _differs(labelled: Column, bad: Column, share: Column, critical: float) -> C
     return gap * gap > critical * critical * share * (1 - share) * labelled
 
 
-def _children(leaves: DataFrame, branches: int) -> DataFrame:
-    """(node, child, name): the children of the open nodes, each with the name it has in the template."""
+def _children(leaves: DataFrame, branches: int, critical: float) -> DataFrame:
+    """(node, child, name): the children of the open nodes, each with the name it has in the template.
+
+    Of a wide node's children those with ``SUPPORT`` labels that differ from
+    their siblings, by a two-proportion test, keep their own, however many they are.
+    """
     each = leaves.groupBy("node", "child").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-    many = each.groupBy("node").agg(F.count("*").alias("_n"))
-    return each.join(many, "node").withColumn("name", F.when(F.col("_n") > branches, "*").otherwise(F.col("child"))).drop("_n")
+    node = each.groupBy("node").agg(F.count("*").alias("_n"), F.sum("l").alias("_l"), F.sum("b").alias("_b"))
+    share, others = F.col("_b") / F.col("_l"), F.col("_l") - F.col("l")
+    gap = F.col("b") * others.cast("double") - (F.col("_b") - F.col("b")) * F.col("l").cast("double")  # the two shares' difference, times both counts
+    stands = (F.col("l") >= SUPPORT) & (others > 0) & (gap * gap > critical * critical * share * (1 - share) * F.col("l") * others * F.col("_l"))
+    return each.join(node, "node").select("node", "child", "l", "b", F.when((F.col("_n") > branches) & ~stands, "*").otherwise(F.col("child")).alias("name"))
 
 
 def _descend(leaves: DataFrame, depth: int, branches: int, smoothing: float, critical: float) -> DataFrame:
@@ -84,7 +95,7 @@ def _descend(leaves: DataFrame, depth: int, branches: int, smoothing: float, cri
     """
     parts = F.split("shape", "/")
     leaves = leaves.withColumn("child", F.coalesce(F.get(parts, F.lit(depth)), F.lit("")))
-    children = _children(leaves, branches)
+    children = _children(leaves, branches, critical)
     nodes = leaves.groupBy("node").agg(F.first("pl").alias("pl"), F.first("pb").alias("pb"), F.first("purity").alias("purity"))
     named = children.groupBy("node", "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).join(nodes, "node")
     differs = _differs(F.col("l"), F.col("b"), F.col("pb") / F.greatest(F.col("pl"), F.lit(1)), critical)
