@@ -233,6 +233,13 @@ def test_fingerprints(spark, texts):
     assert got[2].fingerprint == got[3].fingerprint
 
 
+def test_fingerprints_of_long_disjoint_texts(spark):
+    pairs = [tuple("\n".join(f"{c}{k} {i}" for i in range(1, 401)) for c in "ab") for k in (1, 166, 181, 229, 248, 324)]  # check bits agree by chance in all but the first
+    sets = spark.createDataFrame(pairs, "a string, b string").select(*(fingerprints.digests(F.col(c)).alias(c) for c in "ab"))
+    got = sets.select(fingerprints.likeness(F.col("a"), F.col("b")), F.array_sort(fingerprints.difference(F.col("a"), F.col("b"))) == F.array_sort(F.array_union("a", "b"))).collect()
+    assert [tuple(r) for r in got] == [(0.0, True)] * len(pairs)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(4)
     clean = [" ".join(f"c{x}" for x in rng.integers(0, 300, 60)) for _ in range(300)]

@@ -8,7 +8,9 @@ subtracted cell by cell, so what both hold vanishes; peeling then takes out the
 digest of any cell that holds just one, round by round, and recovers the digests
 that differ.  A comparison begins with sketches that hold all paragraphs of both
 versions with room to spare; if a round finds nothing before all cells are
-empty, both are made anew at twice the size.
+empty, both are made anew at twice the size.  Check bits can agree by chance: a
+digest taken out by mistake is toggled into other cells and found there again, so
+only digests found an odd number of times differ.
 
 Everything happens within a row: the cost is in proportion to the text, and
 nothing is shuffled.  :func:`successors` pairs each row with the next one by
@@ -91,6 +93,17 @@ def peel(cells: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size * TABLES + 1), start, lambda state, _: _round(state, size))
 
 
+def odd_times(found: Column) -> Column:
+    """The values that an array holds an odd number of times, once each; few values are expected to repeat."""
+
+    def told(sort: Column) -> Column:
+        again = F.array_distinct(F.filter(sort, lambda x, i: (i > 0) & (x == F.get(sort, i - 1))))
+        odd = F.filter(again, lambda x: F.size(F.filter(sort, lambda y: y == x)) % 2 == 1)
+        return F.when(F.size(again) == 0, sort).otherwise(F.concat(F.array_except(sort, again), odd))
+
+    return _let(F.sort_array(found), told)
+
+
 def _attempt(a: Column, b: Column, size: Column) -> Column:
     done = peel(subtract(sketch(a, size), sketch(b, size)), size)
     return _let(done, lambda s: F.struct((~F.exists(s["cells"], lambda d: d != 0)).alias("whole"), s["found"].alias("found")))
@@ -105,7 +118,7 @@ def difference(a: Column, b: Column) -> Column:
         tried = _let(_attempt(a, b, acc["size"]), lambda t: F.struct(t["whole"].alias("whole"), t["found"].alias("found"), (acc["size"] * 2).alias("size")))
         return F.when(acc["whole"], acc).otherwise(tried)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS)), start, again)["found"]
+    return odd_times(F.aggregate(F.sequence(F.lit(0), F.lit(DOUBLINGS)), start, again)["found"])
 
 
 def likeness(a: Column, b: Column) -> Column:
