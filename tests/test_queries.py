@@ -30,3 +30,8 @@ def test_against_sql(spark, db, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_planned_query_asks_for_all_entities(spark, db):
+    got = {r.entity for r in QUERIES["planned_query"](spark, SF).collect()}
+    assert got == {r[0] for r in db.execute(f"SELECT entity FROM ({ORACLES['two_step_query']})").fetchall()} and max(got) > 5

@@ -87,6 +87,7 @@ class Engine:
     mode: str = "system"
     model: str = "truth_finder"
     propose: Callable[[str], str] | None = None
+    penalise: bool = True
 
     def _fused(self, attribute: str, entities: DataFrame | None) -> DataFrame:
         rows = self.claims.filter(F.col("attribute") == attribute)
@@ -98,7 +99,7 @@ class Engine:
             scored = rows.join(models.run_model(rows, self.model), ["entity", "attribute", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
             out = extract_answers(scored, attribute in self.multiple)
         else:
-            out = fuse(rows, self.confidence, self.copying, self.kinds.get(attribute, "general"), attribute in self.multiple)
+            out = fuse(rows, self.confidence, self.copying, self.kinds.get(attribute, "general"), attribute in self.multiple, self.penalise)
         if entities is not None and self.mode == "batch":
             out = out.join(entities, "entity", "left_semi")
         return out
