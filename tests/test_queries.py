@@ -35,3 +35,10 @@ def test_entry(spark):
 def test_planned_query_asks_for_all_entities(spark, db):
     got = {r.entity for r in QUERIES["planned_query"](spark, SF).collect()}
     assert got == {r[0] for r in db.execute(f"SELECT entity FROM ({ORACLES['two_step_query']})").fetchall()} and max(got) > 5
+
+
+def test_profile_of_blank_texts(spark, tmp_path):
+    rows = [("a", "x"), ("a", ""), ("a", "  "), ("a", None), ("b", "y")]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["profile_all_sources"](spark, str(tmp_path)).collect())
+    assert got == [("a", 4, 1, 0.75), ("b", 1, 1, 0.0)]

@@ -222,6 +222,14 @@ def profile_sources(spark, sf_dir):
     return profile.source_quality(docs, "source_id", ["text"]).select("source_id", "n_rows", "n_values", "null_ratio")
 
 
+@register("""WITH d AS (SELECT source, NULLIF(trim(text), '') AS text FROM documents)
+SELECT source AS source_id, COUNT(*) AS n_rows, COUNT(text) AS n_values, ROUND(1 - COUNT(text) * 1.0 / COUNT(*), 6) AS null_ratio FROM d GROUP BY source""")
+def profile_all_sources(spark, sf_dir):
+    """Like :func:`profile_sources`, with the rows whose text is blank, which count as nulls."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "text")
+    return profile.source_quality(docs, "source_id", ["text"]).select("source_id", "n_rows", "n_values", "null_ratio")
+
+
 @register("""WITH g AS (SELECT l_partkey AS entity, l_returnflag AS v, COUNT(*) AS n, MIN(CAST(l_suppkey % 10 AS VARCHAR)) AS fs FROM lineitem GROUP BY 1, 2),
 t AS (SELECT entity, v FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY n DESC, fs, v) AS rk FROM g) z WHERE rk = 1 AND v = 'R'),
 h AS (SELECT l.l_partkey AS entity, l.l_linestatus AS value, COUNT(*) AS n, MIN(CAST(l.l_suppkey % 10 AS VARCHAR)) AS fs FROM lineitem l JOIN t ON t.entity = l.l_partkey GROUP BY 1, 2)
