@@ -233,11 +233,61 @@ def test_fingerprints(spark, texts):
     assert got[2].fingerprint == got[3].fingerprint
 
 
-def test_fingerprints_of_long_disjoint_texts(spark):
-    pairs = [tuple("\n".join(f"{c}{k} {i}" for i in range(1, 401)) for c in "ab") for k in (1, 166, 181, 229, 248, 324)]  # check bits agree by chance in all but the first
-    sets = spark.createDataFrame(pairs, "a string, b string").select(*(fingerprints.digests(F.col(c)).alias(c) for c in "ab"))
-    got = sets.select(fingerprints.likeness(F.col("a"), F.col("b")), F.array_sort(fingerprints.difference(F.col("a"), F.col("b"))) == F.array_sort(F.array_union("a", "b"))).collect()
-    assert [tuple(r) for r in got] == [(0.0, True)] * len(pairs)
+def likenesses(spark, pairs):
+    """(likeness, tries) of pairs of texts."""
+    sets = spark.createDataFrame(pairs, "a string, b string").select(*(fingerprints.version(fingerprints.digests(F.col(c))).alias(c) for c in "ab"))
+    told = sets.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("near"), fingerprints.difference(F.col("a"), F.col("b"))["tries"].alias("tries"))
+    return [tuple(r) for r in told.collect()]
+
+
+def line_pairs(many, seed):
+    rng, out = np.random.default_rng(seed), []
+    for k in range(many):
+        shared, left, right = (int(x) for x in rng.integers(0, (3, 10, 60)[k % 3], 3))
+        out.append(tuple("\n".join([*(f"s{k} {i}" for i in range(shared)), *(f"{c}{k} {i}" for i in range(n))]) for c, n in (("a", left), ("b", right))))
+    return out
+
+
+def set_likeness(x, y):
+    a, b = ({line for line in t.split("\n") if line} for t in (x, y))
+    return 1 - len(a ^ b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_fingerprints_recover_differences(spark):
+    pairs = line_pairs(1500, 8) + [tuple("\n".join(f"{c}{k} {i}" for i in range(1, 401)) for c in "ab") for k in range(6)]
+    got = likenesses(spark, pairs)
+    assert [x for x, _ in got] == pytest.approx([set_likeness(*p) for p in pairs]) and {1, 2} <= {t for _, t in got}
+
+
+def test_fingerprints_retry_larger_and_end_exact(spark, monkeypatch):
+    pairs = line_pairs(60, 9)
+    want = pytest.approx([set_likeness(*p) for p in pairs])
+    monkeypatch.setattr(fingerprints, "CELLS", 1)
+    monkeypatch.setattr(fingerprints, "SPARE", 1)  # sketches too small at first
+    got = likenesses(spark, pairs)
+    assert [x for x, _ in got] == want and max(t for _, t in got) > 2
+    monkeypatch.setattr(fingerprints, "SIZES", 1)  # no second size: the digests themselves
+    got = likenesses(spark, pairs)
+    assert [x for x, _ in got] == want and 0 in {t for _, t in got}
+
+
+def test_fingerprints_of_very_many_lines(spark):
+    n = 20_000
+    assert likenesses(spark, [tuple("\n".join(f"l {i}" for i in range(a, a + n)) for a in (0, n // 2))]) == [(0.5, 1)]
+
+
+def test_successors_of_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 5)
+    ids = [-(2**63), 2**63 - 1, 0, 0, 5, None, None, *range(100, 140), *[7] * 40]
+    texts = [f"t{i}" for i in range(len(ids))]
+    got = fingerprints.successors(frame(spark, texts, ids)).collect()
+    after = {r.text: r.next_text for r in got}
+    assert len(got) == len(ids) and sorted(after.values()) == sorted(texts)  # one circle
+    seen, at = [], "t1"
+    for _ in ids:
+        seen.append(ids[texts.index(at)])
+        at = after[at]
+    assert at == "t1" and seen == [*sorted((i for i in ids if i is not None), reverse=True), None, None]
 
 
 def test_quality(spark):
