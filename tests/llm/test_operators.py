@@ -324,6 +324,52 @@ def test_html(spark, body, want):
     assert got == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+LONG = "<p>A long sentence, with commas, and more words than any menu has, as articles do.</p>" * 4
+PLAIN = " ".join(["A long sentence, with commas, and more words than any menu has, as articles do."] * 4)
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        # no article or main: the ratio decides
+        ("<div>Home About Contact</div><div id=m>{}</div>", PLAIN),
+        ("<ul><li><a href=x>Home</a><li><a href=y>About</a></ul><div>{}<ul><li>one short<li>two short</ul></div>", f"{PLAIN} one short two short"),
+        ("<table><tr><td><a href=a>x</a></td><td>{}</td><td>Weather Sport</td></tr></table>", PLAIN),
+        ("<div class=x><h1>T</h1>{}</div><div class='cookie-banner'><p>We use cookies, and more, to track you, always.</p></div>", f"T {PLAIN}"),
+        ("<div>{}</div><section class='comments'><article><p>I liked it, very much, thank you, all of it.</p></article></section>", PLAIN),
+        # words in class names that tell a state, or stand on a wrapper
+        ("<div class='site no-sidebar'>{}</div>", PLAIN),
+        ("<div class='has-header-image'><h1>T</h1>{}</div>", f"T {PLAIN}"),
+        ("<div class='page with-comments'>{}</div>", PLAIN),
+        ("<div class='post-share'><article>{}</article></div>", PLAIN),
+        ("<form id=whole><div>{}</div></form>", PLAIN),
+        # letters that are longer in lower case, quotes and tags that never end
+        ("<div><p>\u0130\u0130\u0130, so it is said.</p><script>x</script><p>Hello, world, this is text.</p>{}</div>", f"\u0130\u0130\u0130, so it is said. Hello, world, this is text. {PLAIN}"),
+        ("<div title='a > b'>{}</div><a href='x", PLAIN),
+        ("<article><b>{}</article></b></i></div>", PLAIN),
+    ],
+)
+def test_html_by_ratio(body, want):
+    assert html_text.main_text(f"<html><body>{body.format(LONG)}") == want
+
+
+def test_html_cost_is_in_proportion():
+    import time
+
+    deep = "<div>" * 100_000 + "hello, world."
+    assert html_text.main_text(deep) == "hello, world."
+    for page in ("<a " * 300_000, "<a b='" * 200_000, "</ " * 300_000, "<div>" * 50_000 + "</b>" * 50_000, "<dl><dd>x<dl>" + "<center>" * 20_000 + "<dd>y</dd>" * 20_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 20
+
+
+def test_html_of_no_rows_repeated_rows_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<div>{LONG}</div>", "x")] * 3, "page_id long, url string, html string, text string")
+    assert [tuple(r) for r in html_text.extract(pages).collect()] == [(1, "u", PLAIN, len(PLAIN))] * 3
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_pii(spark):
     given = [
         "mail anna.b@mail.example.com and ANNA.B@mail.example.com, call +1 (415) 555-2671 or +1 415 555 2671.", "card 4111 1111 1111 1111; ip 10.20.30.40 v2.0.1 2.0.",
