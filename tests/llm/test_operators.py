@@ -139,6 +139,75 @@ def test_url_templates_keep_sections_that_differ(spark):
         assert r.verdict == ("block" if (r.host == "bad.io") != (r.path.split("/")[1] in odd) else "allow")
 
 
+def brute_verdicts(urls, marks, branches, limit=0.5, smoothing=4.0, critical=1.96):
+    """The tree of templates by hand: the verdict of each url."""
+    leaves = defaultdict(lambda: [0, 0])
+    keys = []
+    for i, url in enumerate(urls):
+        host, _, path = url.partition("://")[2].partition("/")
+        keys.append((host, *(x for x in re.sub("[0-9]+", "#", path).split("/") if x)))
+        leaves[keys[-1]][0] += i in marks
+        leaves[keys[-1]][1] += marks.get(i, 0)
+    verdicts = {}
+
+    def descend(paths, depth, all_l, all_b, purity, wide):
+        children = defaultdict(list)
+        for p in paths:
+            children[p[depth] if depth < len(p) else ""].append(p)
+        sums = {c: [sum(leaves[p][i] for p in ps) for i in (0, 1)] for c, ps in children.items()}
+        total, total_b = (sum(s[i] for s in sums.values()) for i in (0, 1))
+        alone = {}
+        for c, (n, b) in sums.items():
+            others, share = total - n, total_b / max(1, total)
+            gap = b * others - (total_b - b) * n
+            alone[c] = n >= 8 and others > 0 and gap * gap > critical**2 * share * (1 - share) * n * others * total
+        rest = [sum(s[i] for c, s in sums.items() if not alone[c]) for i in (0, 1)]
+        named = defaultdict(list)
+        for c in children:
+            named["*" if wide and len(children) > branches and not alone[c] else c].append(c)
+        for cs in named.values():
+            n, b = sums[cs[0]] if alone[cs[0]] else rest
+            share = all_b / max(1, all_l)
+            own = (b + smoothing * purity) / (n + smoothing) if (b - share * n) ** 2 > critical**2 * share * (1 - share) * n else purity
+            inside, below = [sum(sums[c][i] for c in cs) for i in (0, 1)], [p for c in cs for p in children[c]]
+            ended = [p for p in below if depth >= len(p) or not inside[0]]
+            for p in ended:
+                verdicts[p] = "block" if own >= limit else "allow"
+            if len(ended) < len(below):
+                descend([p for p in below if p not in verdicts], depth + 1, *inside, own, True)
+
+    all_l, all_b = (sum(x[i] for x in leaves.values()) for i in (0, 1))
+    descend(list(leaves), 0, all_l, all_b, all_b / (all_l + 1), False)
+    return [verdicts[k] for k in keys]
+
+
+@pytest.mark.parametrize("seed,branches", [(1, 64), (2, 4), (3, 2), (4, 64)])
+def test_url_verdicts_by_brute_force(spark, seed, branches):
+    rng = np.random.default_rng(seed)
+    taste = defaultdict(lambda: float(rng.choice([0.05, 0.1, 0.9])))
+    urls, marks = [], {}
+    for i in range(600):
+        parts = [f"h{rng.integers(3)}.io", *(f"{'abcdefgh'[x]}x{x if x > 6 else ''}" for x in rng.integers(0, 8, rng.integers(0, 4)))]
+        urls.append("http://" + "/".join(parts))
+        if seed != 4 and i % 2:
+            marks[i] = int(rng.random() < taste[tuple(parts[:2])])
+    pages = spark.createDataFrame([*enumerate(urls), (0, urls[0])], "page_id long, url string")  # one row twice
+    marks[0] = 1
+    labels = spark.createDataFrame([(i, 1 - b, 0) for i, b in marks.items()], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, [], branches=branches).collect()}
+    want = brute_verdicts([*urls, urls[0]], {**marks, 600: marks[0]}, branches)
+    assert [got[i] for i in range(600)] == want[:600]
+
+
+def test_url_filter_without_labels_or_pages(spark):
+    pages = spark.createDataFrame([(i, f"http://h.io/{i}") for i in range(5)], "page_id long, url string")
+    labels = spark.createDataFrame([(0, 0, 1)], "doc_id long, quality int, toxic int")
+    assert {r.verdict for r in url_filter.judge(pages, labels.limit(0), []).collect()} == {"allow"}
+    assert url_filter.judge(pages.limit(0), labels, RULES).count() == 0
+    clash = pages.selectExpr("page_id", "url", "'x' host", "'y' shape", "1 l", "2 node", "3 bad")
+    assert url_filter.judge(clash, labels, RULES).count() == 5
+
+
 EDGE = ["", None, "ab'S don't I'LL", "ΑΣ ΣΑΣ", "e\u0301 x\x1cy z\x85w", "<|endoftext|>a <|startoftext|>", "</w> a</w>b", "İ ẞ 12a8 ½", "日本語 😀!!! 'S'T", "ab" * 400]
 
 

@@ -5,9 +5,10 @@ node with more than ``branches`` children, those with too few labels to tell, or
 whose share of bad ones the two-proportion test can't tell from their siblings',
 are generalised to ``*``; the others keep templates of their own at any fan-out.
 The tree is made level by level, over all segments, until no node has children.
-Going down from the root, a node's labelled purity (its share of bad labels) is
-smoothed towards its parent's; a node whose share doesn't differ from its
-parent's by a two-proportion test is merged into it and takes its purity.
+Going down from the root, the branches of a node that the test can't tell from
+their siblings are merged: they are judged by their labels together.  A branch's
+labelled purity (its share of bad labels) is smoothed towards its parent's; a
+branch that doesn't differ from its parent takes its purity.
 Templates whose purity reaches the limit are rejected.  Explicit rules on (host
 suffix, path prefix) go before all that, the longest first.
 
@@ -16,7 +17,7 @@ shuffle; only templates are joined, then the rejected ones with the pages.  A
 level takes a few jobs and only paths below labelled nodes go on to the next.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
-and is judged as such; pages without labels count as pages only; a label with a
+and is judged as such; without labels nothing is rejected but by rules; a label with a
 null is no label; repeated rows are judged alike; other columns are ignored.
 """
 
@@ -73,18 +74,32 @@ def _differs(labelled: Column, bad: Column, share: Column, critical: float) -> C
     return gap * gap > critical * critical * share * (1 - share) * labelled
 
 
+def _stands(l: Column, b: Column, all_l: Column, all_b: Column, critical: float) -> Column:
+    """Whether a branch with ``SUPPORT`` labels differs from its siblings, by a two-proportion test."""
+    share, others = all_b / all_l, all_l - l
+    gap = b * others.cast("double") - (all_b - b) * l.cast("double")  # the two shares' difference, times both counts
+    return F.coalesce((l >= SUPPORT) & (others > 0) & (gap * gap > critical * critical * share * (1 - share) * l * others * all_l), F.lit(False))
+
+
+def _purity(l: Column, b: Column, parent_l: Column, parent_b: Column, parent: Column, smoothing: float, critical: float) -> Column:
+    """The smoothed purity of a branch, or its parent's if it doesn't differ."""
+    return F.when(_differs(l, b, parent_b / F.greatest(parent_l, F.lit(1)), critical), (b + smoothing * parent) / (l + smoothing)).otherwise(parent)
+
+
 def _children(leaves: DataFrame, branches: int, critical: float) -> DataFrame:
-    """(node, child, name): the children of the open nodes, each with the name it has in the template.
+    """(node, child, l, b, name, ml, mb): the children of the open nodes, the name each has in the template, and the labels it is judged by.
 
-    Of a wide node's children those with ``SUPPORT`` labels that differ from
-    their siblings, by a two-proportion test, keep their own, however many they are.
+    Children that differ from their siblings stand for themselves, however many
+    they are.  The others are one branch by their labels, ``ml`` of which ``mb``
+    are bad; below a wide node they are one by name, too.
     """
     each = leaves.groupBy("node", "child").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     node = each.groupBy("node").agg(F.count("*").alias("_n"), F.sum("l").alias("_l"), F.sum("b").alias("_b"))
-    share, others = F.col("_b") / F.col("_l"), F.col("_l") - F.col("l")
-    gap = F.col("b") * others.cast("double") - (F.col("_b") - F.col("b")) * F.col("l").cast("double")  # the two shares' difference, times both counts
-    stands = (F.col("l") >= SUPPORT) & (others > 0) & (gap * gap > critical * critical * share * (1 - share) * F.col("l") * others * F.col("_l"))
-    return each.join(node, "node").select("node", "child", "l", "b", F.when((F.col("_n") > branches) & ~stands, "*").otherwise(F.col("child")).alias("name"))
+    told = each.join(node, "node").withColumn("stands", _stands(F.col("l"), F.col("b"), F.col("_l"), F.col("_b"), critical))
+    rest = told.filter("not stands").groupBy("node").agg(F.sum("l").alias("_rl"), F.sum("b").alias("_rb"))
+    name = F.when((F.col("_n") > branches) & ~F.col("stands"), "*").otherwise(F.col("child"))
+    merged = [F.when(F.col("stands"), F.col(own)).otherwise(F.col(of)).alias(to) for own, of, to in (("l", "_rl", "ml"), ("b", "_rb", "mb"))]
+    return told.join(rest, "node", "left").select("node", "child", "l", "b", name.alias("name"), *merged)
 
 
 def _descend(leaves: DataFrame, depth: int, branches: int, smoothing: float, critical: float) -> DataFrame:
@@ -97,10 +112,9 @@ def _descend(leaves: DataFrame, depth: int, branches: int, smoothing: float, cri
     leaves = leaves.withColumn("child", F.coalesce(F.get(parts, F.lit(depth)), F.lit("")))
     children = _children(leaves, branches, critical)
     nodes = leaves.groupBy("node").agg(F.first("pl").alias("pl"), F.first("pb").alias("pb"), F.first("purity").alias("purity"))
-    named = children.groupBy("node", "name").agg(F.sum("l").alias("l"), F.sum("b").alias("b")).join(nodes, "node")
-    differs = _differs(F.col("l"), F.col("b"), F.col("pb") / F.greatest(F.col("pl"), F.lit(1)), critical)
-    own = (F.col("b") + smoothing * F.col("purity")) / (F.col("l") + smoothing)
-    known = named.select("node", "name", F.col("l").alias("pl"), F.col("b").alias("pb"), F.when(differs, own).otherwise(F.col("purity")).alias("purity"))
+    named = children.groupBy("node", "name").agg(*(F.sum(c).alias(c) for c in "lb"), *(F.first(c).alias(c) for c in ("ml", "mb"))).join(nodes, "node")
+    purity = _purity(*map(F.col, ("ml", "mb", "pl", "pb", "purity")), smoothing, critical)
+    known = named.select("node", "name", F.col("l").alias("pl"), F.col("b").alias("pb"), purity.alias("purity"))
     told = children.select("node", "child", "name").join(known, ["node", "name"])
     below = leaves.drop("pl", "pb", "purity").join(told, ["node", "child"])
     return below.select(
@@ -133,11 +147,12 @@ def judge(
     leaves = materialize(counted.join(seen, ["host", "shape"], "left").fillna(0, ["labelled", "bad"]), "leaves")
 
     total, bad = leaves.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()  # the root, one row
-    root = {"pl": F.lit(total), "pb": F.lit(bad), "purity": F.lit((bad + 0.5) / (total + 1.0))}
-    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).withColumns(root)
-    differs = _differs(F.col("l"), F.col("b"), F.col("pb") / F.greatest(F.col("pl"), F.lit(1)), critical)
-    own = (F.col("b") + smoothing * F.col("purity")) / (F.col("l") + smoothing)
-    known = hosts.select("host", F.col("l").alias("pl"), F.col("b").alias("pb"), F.when(differs, own).otherwise(F.col("purity")).alias("purity"))
+    purity = F.lit(bad / (total + 1.0))  # without labels nothing is bad
+    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    hosts = hosts.withColumn("stands", _stands(F.col("l"), F.col("b"), F.lit(total), F.lit(bad), critical) if total else F.lit(False))
+    rest = hosts.filter("not stands").agg(F.coalesce(F.sum("l"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    merged = [F.when(F.col("stands"), F.col(c)).otherwise(F.lit(r)) for c, r in zip("lb", rest, strict=True)]
+    known = hosts.select("host", F.col("l").alias("pl"), F.col("b").alias("pb"), _purity(*merged, F.lit(total), F.lit(bad), purity, smoothing, critical).alias("purity"))
     level = materialize(leaves.join(known, "host").select("*", F.col("host").alias("node"), (F.col("pl") > 0).alias("open")), "level")
     rejected, depth = None, 0
     while True:
