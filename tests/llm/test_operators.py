@@ -495,3 +495,37 @@ def test_sharding(spark, texts):
     assert not any(a != b and b.startswith(a) for a in shards for b in shards)  # a prefix code
     same = sharding.assign(frame(spark, ["abcd"] * 10, [1] * 10), 12).collect()
     assert sorted(sum(r.n_bytes for r in same if r.shard == s) for s in {r.shard for r in same}) == [4, 12, 12, 12]
+
+
+def brute_directory(rows, limit):
+    """Shards of (place, bytes): split the bucket that is too large on its next bit, until all fit."""
+    out, todo = {}, [("", rows)]
+    while todo:
+        name, held = todo.pop()
+        if sum(b for _, b in held) <= limit or len(name) == sharding.BITS:
+            out |= {p: name or "root" for p, _ in held}
+            continue
+        for bit in "01":
+            todo.append((name + bit, [(p, b) for p, b in held if f"{p:0{sharding.BITS}b}"[len(name)] == bit]))
+    return out
+
+
+def test_sharding_by_brute_force(spark):
+    docs = frame(spark, ["x" * (i % 90) if i % 7 else None for i in range(300)]).withColumn("place", sharding.place("doc_id", "text"))
+    places = {r.doc_id: (r.place, len(r.text or "")) for r in docs.collect()}
+    want = brute_directory(list(places.values()), 400)
+    got = {r.doc_id: r.shard for r in sharding.assign(docs, 400).collect()}
+    assert got == {i: want[p] for i, (p, _) in places.items()}
+
+
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    texts = [f"text {i % 5} {'x' * 20}" for i in range(40)]
+    docs = frame(spark, texts, [1, None, 2, 2] * 10).withColumn("place", F.lit("p")).withColumn("bytes", F.lit(1))
+    sharding.write_shards(docs, f"file://{tmp_path}/s", 100)
+    back = spark.read.parquet(f"file://{tmp_path}/s")
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, back.select(docs.columns).collect())) == sorted(map(key, docs.collect()))
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert max(r.n for r in sizes) <= 100 and len(sizes) > 10
+    with pytest.raises(ValueError):
+        sharding.write_shards(back, f"file://{tmp_path}/t", 100)

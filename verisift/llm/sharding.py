@@ -65,21 +65,29 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
         return leaf if found is None else found.union(leaf)
 
 
-def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, shard, n_bytes, fits)`` for every row; a shard is named by the bits of its prefix, and ``+page`` if it overflows."""
-    rows = docs.select(F.col(id_col).alias("_id"), place(id_col, text_col).alias("place"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"))
-    rows = materialize(rows, "places")
-    shards = materialize(directory(rows.select("place", "bytes"), limit), "directory")
-    depths = [r[0] for r in shards.select("depth").distinct().collect()]
+def _rows(docs: DataFrame, kept: Column, id_col: str, text_col: str) -> DataFrame:
+    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")
+    return docs.select(kept.alias("_kept"), place(id_col, text_col).alias("place"), size.alias("bytes"))
+
+
+def _located(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """``(_kept, shard, n_bytes, fits)`` of each of ``rows`` (_kept, place, bytes); each row finds its shard by its own place."""
+    shards = materialize(directory(sizes, limit), "directory")
+    depths = [r[0] for r in shards.select("depth").distinct().collect()]  # BITS + 1 at most
     name = F.when(F.col("depth") == 0, "root").otherwise(F.expr("lpad(conv(cast(prefix as string), 10, 2), depth, '0')"))
     shards = shards.select("depth", "prefix", name.alias("shard"), (F.col("bytes") <= limit).alias("fits"))
     tried = rows.withColumn("depth", F.explode(F.array(*map(F.lit, sorted(depths))))) if depths else rows.withColumn("depth", F.lit(0))
     tried = tried.withColumn("prefix", F.expr(f"shiftright(place, {BITS} - depth)"))
-    told = tried.join(shards, ["depth", "prefix"]).select("_id", "shard", F.col("bytes").alias("n_bytes"), "fits", "place")
-    large = shards.filter("not fits")
-    if not large.isEmpty():
+    told = tried.join(shards, ["depth", "prefix"]).select("_kept", "shard", F.col("bytes").alias("n_bytes"), "fits", "place")
+    if not shards.filter("not fits").isEmpty():
         told = _paged(told, limit)
-    return told.select(F.col("_id").alias(id_col), "shard", "n_bytes", "fits")
+    return told.drop("place")
+
+
+def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, shard, n_bytes, fits)`` for every row; a shard is named by the bits of its prefix, and ``+page`` if it overflows."""
+    rows = materialize(_rows(docs, F.col(id_col), id_col, text_col), "places")
+    return _located(rows, rows.select("place", "bytes"), limit).withColumnRenamed("_kept", id_col)
 
 
 def _paged(told: DataFrame, limit: int) -> DataFrame:
@@ -94,12 +102,15 @@ def _paged(told: DataFrame, limit: int) -> DataFrame:
     each = over.withColumn("number", number).join(tasks, ["place", "task"])
     fit = F.greatest(F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))), F.lit(1))
     page = F.floor((F.col("before") + F.col("number")) / fit)
-    paged = each.select("_id", F.concat("shard", F.lit("+"), page.cast("string")).alias("shard"), "n_bytes", (F.col("n_bytes") <= limit).alias("fits"), "place")
+    paged = each.select("_kept", F.concat("shard", F.lit("+"), page.cast("string")).alias("shard"), "n_bytes", (F.col("n_bytes") <= limit).alias("fits"), "place")
     return told.filter("fits").union(paged)
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet, a folder for each shard."""
-    keyed = docs.withColumn("_place", place(id_col, text_col))
-    shards = assign(docs, limit, id_col, text_col).select(F.col(id_col).alias("_id"), "shard").distinct()
-    keyed.join(shards, keyed[id_col].eqNullSafe(F.col("_id"))).drop("_id", "_place").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> None:
+    """Write ``docs`` as Parquet, a folder with one file for each shard; every row once, whatever ids repeat."""
+    if shard_col in docs.columns:
+        raise ValueError(f"docs has a column {shard_col!r}; name another by shard_col")
+    rows = _rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)), id_col, text_col)
+    sizes = materialize(rows.select("place", "bytes"), "places")
+    told = _located(rows, sizes, limit).select("_kept.*", F.col("shard").alias(shard_col))
+    told.repartition(shard_col).write.partitionBy(shard_col).parquet(path)  # a task's shard fits the limit
