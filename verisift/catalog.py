@@ -6,8 +6,6 @@ disagree about the return flag or status, users whose events disagree by hour.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,46 +13,10 @@ from pyspark.sql import functions as F
 from verisift.functions import text, vectors
 from verisift.operators import entities, evaluate, fusion, models, retrieve
 from verisift.plans.query import Engine, Query, Step
+from verisift.registry import ORACLES, QUERIES, event_claims, flag_claims, register, table, two_attributes
 from verisift.sources import profile
 from verisift.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def flag_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem")
-    return items.select(
-        F.col("l_partkey").alias("entity"), F.lit("returnflag").alias("attribute"), (F.col("l_suppkey") % 10).cast("string").alias("source_id"),
-        F.col("l_orderkey").alias("row_id"), F.col("l_returnflag").alias("value"),
-    )
-
-
-def two_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_returnflag", "l_linestatus")
-    long = items.unpivot(["l_partkey", "l_suppkey", "l_orderkey"], ["l_returnflag", "l_linestatus"], "attribute", "value")
-    return long.select(F.col("l_partkey").alias("entity"), "attribute", (F.col("l_suppkey") % 10).cast("string").alias("source_id"), F.col("l_orderkey").alias("row_id"), "value")
-
-
-def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("entity"), (F.hour("ts") % 4).cast("string").alias("source_id"), F.col("event_type").alias("value"), F.date_format("ts", "yyyy-MM-dd").alias("batch"))
-
-
 CLAIMS = "claims AS (SELECT l_partkey AS entity, CAST(l_suppkey % 10 AS VARCHAR) AS source_id, l_returnflag AS value FROM lineitem)"
 VOTED = """votes AS (SELECT entity, value, COUNT(*) AS n_rows, MIN(source_id) AS first_source FROM claims GROUP BY entity, value),
 ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY n_rows DESC, first_source, value) AS rk FROM votes)"""
@@ -283,3 +245,6 @@ def aggregate_functions(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("value"))
     low = retrieve.aggregate_view(rows, "Function_MIN", ("flag",)).withColumnRenamed("value", "low")
     return low.join(retrieve.aggregate_view(rows, "Function_MAX", ("flag",)).withColumnRenamed("value", "high"), "flag")
+
+
+from verisift import inventory  # noqa: E402, F401 (adds its queries)

@@ -96,10 +96,16 @@ def time_equal(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | near, F.lit(False))
 
 
+#: Properties whose values are times.
+DATE_KINDS = ("date", "date_string")
+
+
 def equality_key(c: Column, kind: str) -> Column:
-    """The key under which values of a kind are equal: numbers, else word sets; times are compared pairwise."""
+    """The key under which values of a kind are equal: numbers, times to the minute, else word sets; see ``fusion.join_minutes`` for neighbouring minutes."""
     if kind in ("numeric", "numeric_string"):
         return F.coalesce(number_key(c.cast("string")).cast("string"), c.cast("string"))
+    if kind in DATE_KINDS:
+        return F.coalesce(F.date_format(F.date_trunc("minute", parse_time(c)), "yyyy-MM-dd HH:mm"), token_key(c))
     return token_key(c)
 
 
@@ -182,7 +188,7 @@ DEFAULT_RULES: dict[str, list[list[dict]]] = {
 
 def dice(a: Column, b: Column) -> Column:
     """Dice coefficient of the letters of two texts, as multisets: 1 - |difference| / (|a| + |b|)."""
-    letters = lambda c: F.array_sort(F.split(c, "(?!^)"))
+    letters = lambda c: F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
     x, y = letters(a), letters(b)
     common = F.aggregate(F.array_distinct(x), F.lit(0), lambda n, l: n + F.least(F.size(F.filter(x, lambda z: z == l)), F.size(F.filter(y, lambda z: z == l))))
     return 2.0 * common / F.greatest(F.length(a) + F.length(b), F.lit(1))
@@ -197,6 +203,18 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def values_equal(a: Column, b: Column, kind: str = "general") -> Column:
+    """Whether two answers are equal by the kind of their property: times within a minute, numbers to two decimals, else word sets."""
+    if kind in DATE_KINDS:
+        return time_equal(a, b)
+    return F.coalesce(equality_key(a, kind) == equality_key(b, kind), F.lit(False))
+
+
+def separators(c: Column) -> Column:
+    """What stands between the letters and digits of a value, in order."""
+    return F.array_join(F.regexp_extract_all(c, F.lit("[^a-zA-Z0-9]+"), F.lit(0)), "|")
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """0 to 100: the best edit likeness of the shared words and each side's words, order ignored."""
     x, y = F.split(token_key(F.lower(a)), " "), F.split(token_key(F.lower(b)), " ")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,6 +32,22 @@ def softmax(a: Column) -> Column:
     return F.transform(parts, lambda x: x / total)
 
 
+def sigmoid(c: Column) -> Column:
+    return 1 / (1 + F.exp(-c))
+
+
+def gumbel_softmax(a: Column, noise: Column, heat: float = 1.0) -> Column:
+    """Softmax of an array of logits with Gumbel noise from an array of numbers between 0 and 1."""
+    return softmax(F.zip_with(a, noise, lambda x, u: (x - F.log(-F.log(u))) / heat))
+
+
+def ring_cosine(df: DataFrame, keys: list[str], order: str, vector: str = "embedding") -> DataFrame:
+    """``(keys, cosine)``: the mean cosine of each vector of a group and the next one by ``order``, the first after the last."""
+    w = W.partitionBy(*keys).orderBy(order)
+    after = F.coalesce(F.lead(vector).over(w), F.first(vector).over(w))
+    return df.withColumn("_c", cosine(F.col(vector), after)).groupBy(*keys).agg(F.avg("_c").alias("cosine"))
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:
     """The mean vector of each group; combined before the shuffle, whatever the group's size."""
     each = df.select(*keys, F.posexplode(vector).alias("_i", "_x"))

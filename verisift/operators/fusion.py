@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verisift.functions.text import equality_key, is_null, tokens
+from verisift.functions.text import DATE_KINDS, canonical_forms, equality_key, is_null, tokens
+from verisift.functions.vectors import cosine, mean_vectors
+from verisift.operators.components import connected_components
 
 #: Prior of copying, its decay, weight of shared truths and errors, decay of history, shares of the best that are kept.
 ALPHA, BETA, COPY_DECAY, SHARED_TRUE, SHARED_FALSE = 0.1, 5.0, 0.98, 0.2, 1.0
@@ -31,6 +33,55 @@ def updated_confidence(prior: Column, correct: Column, total: Column, total_rows
     return (prior * weight + correct) / (weight + total)
 
 
+def distinct_values(claims: DataFrame) -> DataFrame:
+    return claims.filter(~is_null(F.col("value"))).select("entity", "attribute", "value").distinct()
+
+
+def join_minutes(keyed: DataFrame) -> DataFrame:
+    """Keys (entity, attribute, value, key) of times, those a minute apart joined: a run of neighbouring minutes has the key of its first."""
+    w = W.partitionBy("entity", "attribute").orderBy("_at")
+    minutes = keyed.withColumn("_at", F.try_to_timestamp("key", F.lit("yyyy-MM-dd HH:mm"))).filter("_at is not null").select("entity", "attribute", "key", "_at").distinct()
+    gap = F.unix_timestamp("_at") - F.unix_timestamp(F.lag("_at").over(w))
+    runs = minutes.withColumn("_run", F.sum(F.when(gap <= 60, 0).otherwise(1)).over(w))
+    first = runs.groupBy("entity", "attribute", "_run").agg(F.min("key").alias("_first"))
+    named = runs.join(first, ["entity", "attribute", "_run"]).select("entity", "attribute", "key", "_first")
+    return keyed.join(named, ["entity", "attribute", "key"], "left").select("entity", "attribute", "value", F.coalesce("_first", "key").alias("key"))
+
+
+def aligned_keys(claims: DataFrame, kind: str = "general", rules: list[list[dict]] | None = None) -> DataFrame:
+    """(entity, attribute, value, key): values of one entity that are equal as they are, or after a rule on either side, have one key.
+
+    A value has the forms that the rules give it; values that share a form,
+    directly or through others, are one group, whose key is its smallest form.
+    Only distinct values are worked on, never claims, and no pairs are made.
+    """
+    values = distinct_values(claims)
+    if not rules:
+        keyed = values.withColumn("key", equality_key(F.col("value"), kind))
+        return join_minutes(keyed) if kind in DATE_KINDS else keyed
+    formed = values.select("entity", "attribute", "value", F.explode(canonical_forms(F.col("value"), rules, kind)).alias("form")).filter("form is not null")
+    scope = F.concat(F.xxhash64("entity", "attribute").cast("string"), F.lit("|"))
+    own = values.withColumn("own", F.concat(scope, equality_key(F.col("value"), kind)))
+    edges = formed.join(own.select("entity", "attribute", "value", "own"), ["entity", "attribute", "value"]).select("own", F.concat(scope, F.col("form")).alias("other"))
+    groups = connected_components(edges, "own", "other")
+    named = own.join(groups.withColumnRenamed("node", "own"), "own", "left").withColumn("key", F.expr("substring(coalesce(component, own), instr(own, '|') + 1)"))
+    keyed = named.select("entity", "attribute", "value", "key")
+    return join_minutes(keyed) if kind in DATE_KINDS else keyed
+
+
+def with_keys(claims: DataFrame, kind: str = "general", rules: list[list[dict]] | None = None) -> DataFrame:
+    """The claims with their ``key``; null where the value is."""
+    return claims.join(aligned_keys(claims, kind, rules), ["entity", "attribute", "value"], "left")
+
+
+def fuse_aligned(
+    claims: DataFrame, kind: str = "general", rules: list[list[dict]] | None = None, confidence: DataFrame | None = None, copying: DataFrame | None = None, multiple: bool = False, penalise: bool = True
+) -> DataFrame:
+    """:func:`fuse` with values aligned by rules, or times by minutes, before they are grouped."""
+    keyed = with_keys(claims, kind, rules)
+    return fuse(keyed, confidence, copying, kind, multiple, penalise, F.col("key"))
+
+
 def group_by_source(claims: DataFrame, confidence: DataFrame | None = None, kind: str = "general", key: Column | None = None) -> DataFrame:
     """Stage one: equal values of a source are a group; its score is its rows times the source's confidence."""
     real = claims.filter(~is_null(F.col("value"))).withColumn("key", key if key is not None else equality_key(F.col("value"), kind))
@@ -214,16 +265,47 @@ def majority_vote(claims: DataFrame, top: int = 10) -> DataFrame:
     return real.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def extract_answers(scored: DataFrame, multiple: bool, share: float = 0.8) -> DataFrame:
-    """Truths out of scores: above a share of the best, or the best and all claims of its value."""
+def extract_answers(scored: DataFrame, multiple: bool, share: float = 0.8, tie_in: bool = True) -> DataFrame:
+    """Truths out of scores: above a share of the best, or the best and, with ``tie_in``, all claims of its value (answers of a batch have none)."""
     w = W.partitionBy("entity", "attribute")
     top = F.max("score").over(w)
     if multiple:
         return scored.withColumn("is_true", F.col("score") > share * top)
+    if not tie_in:
+        return scored.withColumn("is_true", F.col("score") == top)
     best = F.first("value").over(w.orderBy(F.desc("score"), "value"))
     return scored.withColumn("is_true", (F.col("score") == top) | (F.col("value") == best))
 
 
+def cosine_scores(claims: DataFrame) -> DataFrame:
+    """Claims (entity, attribute, ..., embedding) with ``score``: the cosine to the mean vector of all claims of the entity and attribute."""
+    keys = ["entity", "attribute"]
+    means = mean_vectors(claims, keys, "embedding", "_mean")
+    return claims.join(means, keys, "left").withColumn("score", cosine(F.col("embedding"), F.col("_mean"))).drop("_mean")
+
+
+def confidence_statistics(view: DataFrame, condition: str) -> DataFrame:
+    """(source_id, condition, attribute, correct, total) of a fused view, for :func:`updated_confidence`; claims of a null don't count."""
+    real = view.filter(~is_null(F.col("value")))
+    return real.groupBy("source_id", F.lit(condition).alias("condition"), "attribute").agg(F.sum(F.col("is_true").cast("long")).alias("correct"), F.count("*").alias("total"))
+
+
+def learned_confidence(statistics: DataFrame, levels: DataFrame, total_rows: int) -> DataFrame:
+    """(source_id, condition, attribute, confidence) from cumulative statistics and the sources' levels (none: confidence 1 before)."""
+    known = statistics.groupBy("source_id", "condition", "attribute").agg(F.sum("correct").alias("correct"), F.sum("total").alias("total"))
+    told = known.join(levels.select("source_id", "confidence_level"), "source_id", "left")
+    prior = F.when(F.col("confidence_level").isNull(), 1.0).otherwise(prior_confidence(F.col("confidence_level")))
+    return told.select("source_id", "condition", "attribute", updated_confidence(prior, F.col("correct"), F.col("total"), F.lit(total_rows)).alias("confidence"))
+
+
+def failure_classes(failures: DataFrame) -> DataFrame:
+    """(attribute, component, values): values that failed to align, directly or through others, as one class each, for whoever proposes rules."""
+    mark = lambda c: F.concat("attribute", F.lit("\x1f"), c)
+    found = connected_components(failures.select(mark("true_value").alias("a"), mark("error_value").alias("b")), "a", "b")
+    part = lambda c, i: F.get(F.split(c, "\x1f"), F.lit(i))
+    return found.groupBy(part("component", 0).alias("attribute"), part("component", 1).alias("component")).agg(F.array_sort(F.collect_set(part("node", 1))).alias("values"))
+
+
 def passthrough(claims: DataFrame) -> DataFrame:
     """No fusion: every claim with score 1."""
     return claims.withColumns({"score": F.lit(1.0), "is_true": ~is_null(F.col("value"))})

@@ -128,9 +128,13 @@ def filter_fused(view: DataFrame, values: list, op: str | None = None, column: s
     return view.filter(any_of(c, op, [str(v) for v in values]))
 
 
-def filter_fused_vectors(view: DataFrame, targets: DataFrame, least: float = FUSED) -> DataFrame:
-    near = dot(F.col("embedding"), F.col("_t")) >= least
-    return view.join(targets.select(F.col("embedding").alias("_t")), near, "left_semi")
+def filter_fused_vectors(view: DataFrame, targets: DataFrame, least: float = FUSED, row_id: str = "row_id", target_id: str = "target_id") -> DataFrame:
+    """Rows of a fused view whose vector is near any target's; targets (target_id, embedding) are a stated set, asked in slices."""
+    keys = view.select(F.struct("source_id", row_id).alias("_row"), "embedding") if "source_id" in view.columns else view.select(F.col(row_id).alias("_row"), "embedding")
+    plain = keys.withColumn("_row", F.to_json("_row") if "source_id" in view.columns else F.col("_row").cast("string"))
+    near = nearest(targets, plain, target_id, "_row", 2**31 - 1, least, None).select("_row").distinct()
+    mark = F.to_json(F.struct("source_id", row_id)) if "source_id" in view.columns else F.col(row_id).cast("string")
+    return view.withColumn("_row", mark).join(near, "_row", "left_semi").drop("_row")
 
 
 def select_rows(rows: DataFrame, base: DataFrame, keys: tuple[str, ...] = ("source_id", "row_id")) -> DataFrame:

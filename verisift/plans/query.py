@@ -15,9 +15,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verisift.functions.text import DATE_KINDS, OPERATIONS
 from verisift.operators import models
-from verisift.operators.fusion import extract_answers, fuse, passthrough
-from verisift.operators.retrieve import aggregate_view, any_of, filter_fused
+from verisift.operators.fusion import alignment_failures, extract_answers, failure_classes, fuse, fuse_aligned, passthrough
+from verisift.operators.retrieve import aggregate_view, any_of, bind_columns, filter_fused
 
 
 @dataclass(frozen=True)
@@ -86,18 +87,50 @@ class Engine:
     multiple: frozenset[str] = frozenset()
     mode: str = "system"
     model: str = "truth_finder"
-    propose: Callable[[str], str] | None = None
+    propose: Callable[[list], list[list[dict]]] | None = None
+    parse: Callable[[str], list[dict]] | None = None
+    rules: dict[str, list[list[dict]]] = field(default_factory=dict)
+    columns: DataFrame | None = None
+    embed: Callable[[str], list[float]] | None = None
     penalise: bool = True
 
+    def ask(self, question: str, id: str = "0") -> DataFrame:
+        """The answer to a question that ``parse`` turns into steps."""
+        if self.parse is None:
+            raise ValueError("no parser of questions")
+        return self.run(Query.read({"questionId": id, "question": question, "subquery": self.parse(question)}))
+
+    def learn_rules(self, attribute: str) -> list[list[dict]]:
+        """Show the classes of values that failed to align to ``propose`` and keep the rules it returns; only known operations are taken."""
+        view = self._fused(attribute, None)
+        classes = failure_classes(alignment_failures(view)).select("values").collect()  # five pairs for each pair of sources
+        found = self.propose([list(r["values"]) for r in classes]) if self.propose and classes else []
+        unknown = {s["op"] for r in found for s in r} - set(OPERATIONS)
+        if unknown:
+            raise ValueError(f"unknown operations {sorted(unknown)}")
+        self.rules[attribute] = [*self.rules.get(attribute, []), *found]
+        return found
+
+    def _rows(self, attribute: str) -> DataFrame:
+        """The claims of an attribute: by its name, or by the column that is nearest to it in each source."""
+        if self.columns is None or self.embed is None:
+            return self.claims.filter(F.col("attribute") == attribute)
+        asked = self.claims.sparkSession.createDataFrame([([float(x) for x in self.embed(attribute)],)], "embedding array<double>")
+        bound = bind_columns(asked, self.columns).select("source_id", F.col("column_name").alias("attribute"))
+        return self.claims.join(bound, ["source_id", "attribute"], "left_semi").withColumn("attribute", F.lit(attribute))
+
     def _fused(self, attribute: str, entities: DataFrame | None) -> DataFrame:
-        rows = self.claims.filter(F.col("attribute") == attribute)
+        rows = self._rows(attribute)
         if entities is not None and self.mode != "batch":
             rows = rows.join(entities, "entity", "left_semi")
         if self.mode == "decompose":
             out = passthrough(rows)
         elif self.mode == "baseline" or self.mode == "batch" and self.model:
             scored = rows.join(models.run_model(rows, self.model), ["entity", "attribute", "value"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-            out = extract_answers(scored, attribute in self.multiple)
+            out = extract_answers(scored, attribute in self.multiple, tie_in=self.mode != "batch")
+        elif self.rules.get(attribute) or self.kinds.get(attribute) in DATE_KINDS:
+            out = fuse_aligned(rows, self.kinds.get(attribute, "general"), self.rules.get(attribute), self.confidence, self.copying, attribute in self.multiple, self.penalise)
+            out = out.select(*rows.columns, "score", "is_true")
         else:
             out = fuse(rows, self.confidence, self.copying, self.kinds.get(attribute, "general"), attribute in self.multiple, self.penalise)
         if entities is not None and self.mode == "batch":

@@ -2,8 +2,8 @@
 
 Lineage is cut with Parquet tables (compressed, readable after an executor is
 lost), never with local checkpoints.  The folder is the session's
-``spark.checkpoint.dir``; only where that is unset, as in tests on one machine,
-is a temporary folder made and put into the setting.
+``spark.checkpoint.dir``; only where that is unset and the master is local, as in
+tests, is a temporary folder made and put into the setting.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that all executors and the driver share")
         found = "file://" + tempfile.mkdtemp(prefix="verisift-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

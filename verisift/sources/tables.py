@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,11 +59,17 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None, d
     return df.select(_source_id(r"_(\d+)\.txt$").alias("source_id"), *(F.col(f"`{c}`").alias(c.lower()) for c in kept))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their 0-based numbers in each file; each file is one row's whole text, as line numbers need it."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_number", "line")).filter("line <> ''")
-    return lines.select(F.regexp_extract("file", r"_(\d+)\.[a-z]+$", 1).alias("source_id"), "line_number", "line")
+def read_lines(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """Lines with their 0-based numbers in each file, of the given keys (first fields) alone; a large file is read in splits, whose lines are counted first."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())  # in order within a split of a file
+    splits = lines.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.row_number().over(W.partitionBy("file", "start").orderBy("at")) - 1
+    told = lines.withColumn("number", number).join(splits.withColumn("before", before).drop("n"), ["file", "start"])
+    told = told.select(F.regexp_extract("file", r"_(\d+)\.[a-z]+$", 1).alias("source_id"), (F.col("before") + F.col("number")).alias("line_number"), F.regexp_replace("value", "\r$", "").alias("line"))
+    kept = told.filter("line <> ''")
+    return kept if keys is None else kept.filter(F.lower(F.trim(F.split("line", "\t")[0])).isin([k.lower() for k in keys]))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -73,9 +84,21 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.trim(F.split("value", "\t")[0]).alias("entity"))
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    rules = spark.read.text(path).filter(F.trim("value") != "")
-    return rules.select(F.posexplode(F.from_json("value", "array<struct<op:string,args:array<string>>>")).alias("pos", "step")).select("pos", "step.op", "step.args")
+def read_rules(spark: SparkSession, path: str) -> list[list[dict]]:
+    """The rules of a library, one JSON array a line, in order; a library is a driver's object, read as a whole."""
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value").collect()
+    return [json.loads(r.value) for r in lines]
+
+
+def write_rules(spark: SparkSession, rules: list[list[dict]], path: str) -> None:
+    """Add rules to a library; a rule that stands there is not written again."""
+    try:
+        known = {json.dumps(r, sort_keys=True) for r in read_rules(spark, path)}
+    except AnalysisException:
+        known = set()
+    fresh = [(json.dumps(r),) for r in rules if json.dumps(r, sort_keys=True) not in known]
+    if fresh:
+        spark.createDataFrame(fresh, "value string").coalesce(1).write.mode("append").text(path)
 
 
 def read_confidence(spark: SparkSession, path: str) -> DataFrame:
@@ -96,6 +119,11 @@ def append_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("sep", "\t").option("header", True).csv(path)
 
 
+def enrich(df: DataFrame, columns: list[str], embed: Callable[[Column], Column], suffix: str = "_emd") -> DataFrame:
+    """Each column's vectors beside it; ``embed`` makes a vector of a column, and null where the value is blank."""
+    return df.withColumns({f"{c}{suffix}": F.when(F.trim(F.col(c).cast("string")) != "", embed(F.col(c).cast("string"))) for c in columns})
+
+
 def csv_to_parquet(spark: SparkSession, source: str, target: str) -> None:
     spark.read.option("header", True).csv(source).write.mode("overwrite").option("compression", "snappy").parquet(target)
 
