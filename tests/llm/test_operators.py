@@ -454,7 +454,7 @@ def test_pii(spark):
     assert len({re.sub(r"\D", "", x) for x in re.findall(r"\+1 \(?\d{3}\)? \d{3}[- ]\d{4}", got[0])}) == 1
     digits = [int(c) for c in re.sub(r"\D", "", re.search(r"card ([\d ]+);", got[1])[1])][::-1]
     assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
-    assert "v2.0.1 2.0." in got[1] and re.search(r'token = "[0-9a-f]{20}"', got[2]) and got[3].startswith("Frau ") and re.search("г-жа [А-я-]+а$", got[3])
+    assert "v2.0.1 2.0." in got[1] and re.search(r'token = "[0-9a-f]{20}"', got[2]) and got[3].startswith("Frau ") and re.search("г-жа [А-я-]+а$", got[3]), got[3]
     assert got[7] == re.sub(" ", "", re.search(r"card ([\d ]+);", got[1])[1])
 
 
@@ -464,7 +464,7 @@ def test_pii_collisions(spark):
     assert len(set(got)) == len(set(given)) and not set(got) & set(given)
 
 
-def test_pii_more_entities_than_surrogates(spark):
+def test_pii_more_entities_than_surrogates(spark, monkeypatch):
     names = [f"Mr {x}{y}{z}" for x in "ABCDEFGHIJKLM" for y in "aeiouy" for z in "bdfgklmn"]  # above the 400 joined family names
     mails = [f"{c}@b.co" for c in "abcdefghijklmnopqrstuvwxyz"]
     got = [r.text for r in pii.replace(frame(spark, names + mails), "k").orderBy("doc_id").collect()]
@@ -473,6 +473,40 @@ def test_pii_more_entities_than_surrogates(spark):
     assert all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in got[len(names) :])
 
 
+def test_pii_of_dense_types_ends(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LATE", 0)
+    monkeypatch.setattr(pii, "_byte", lambda stream, i: F.pmod(F.conv(F.substring(stream, 1, 1), 16, 10).cast("int"), F.lit(2)) + i * 0)  # hardly any numbers
+    given = [f"{100 + i}-{10 + i}-{1000 + i}" for i in range(4)]
+    got = [r.text for r in pii.replace(frame(spark, given), "k").collect()]
+    assert len(set(got)) == 4 and not set(got) & set(given)
+
+
+def test_pii_names_agree_with_their_parts(spark):
+    given = ["Mr John Smith met Mr Smith. Smith is John Smith, and Johnny Smithers is not.", "Mr John Smith wrote; Mr John Doe and Mr Paul Smith read.", "My name is Laura Palmer. Laura, or Ms Palmer.", "No Smith here."]
+    got = [r.text for r in pii.replace(frame(spark, given), "k").orderBy("doc_id").collect()]
+    first, family = re.match(r"Mr (\S+) (\S+) met", got[0]).groups()
+    assert got[0] == f"Mr {first} {family} met Mr {family}. {family} is {first} {family}, and Johnny Smithers is not." and {first, family}.isdisjoint({"John", "Smith"})
+    a, b, c = re.match(r"Mr (.+) wrote; Mr (.+) and Mr (.+) read", got[1]).groups()
+    assert a == f"{first} {family}" and len({a, b, c}) == 3 and b.split()[0] == first and c.split()[1] == family
+    one, two = re.match(r"My name is (\S+) (\S+)\. ", got[2]).groups()
+    assert got[2] == f"My name is {one} {two}. {one}, or Ms {two}." and one.split("-")[0] in pii.NAMES["latin", "f"] and got[3] == given[3]
+
+
+def test_pii_streets_and_dates_of_birth(spark):
+    given = ["born on 12.03.1985 at 12 Elm Tree Street", "dob: 1985-03-12, Hauptstraße 12a", "12, rue de Rivoli; Calle de Alcalá, 33", "on 12.03.1985 nothing, 12 Elm trees"]
+    got = [r.text for r in pii.replace(frame(spark, given), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"born on \d\d\.\d\d\.\d{4} at \d+ \S+ Street", got[0]) and "Elm" not in got[0] and "12.03.1985" not in got[0]
+    assert re.fullmatch(r"dob: \d{4}-\d\d-\d\d, [A-Z][a-z-]*straße \d+a", got[1]) and "Haupt" not in got[1]
+    assert re.fullmatch(r"\d+, rue de \S+; Calle de \S+, \d+", got[2]) and "Rivoli" not in got[2] and "Alcal" not in got[2] and got[3] == given[3]
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    docs = frame(spark, ["a@b.co 555-100-1000", None]).withColumns({"_pii": F.lit(1), "_piitried": F.lit(2), "_row": F.lit(3), "_new": F.lit(4), "kind": F.lit("k"), "row": F.lit(5)})
+    got = pii.replace(docs, "k", count_col="n")
+    assert got.columns == [*docs.columns, "n"] and got.drop("text", "n").collect() == docs.drop("text").collect()
+    assert pii.replace(docs.limit(0)).count() == 0
+
+
 def test_oracles(spark):
     duckdb = pytest.importorskip("duckdb")
     if not os.path.isdir("/root/testdata/sf0.001"):

@@ -31,6 +31,11 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates: a setting of the session; a public default where there is none."""
+    return spark.conf.get("spark.verisift.pii.key", "verisift")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeated(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -71,7 +76,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark), count_col="n_entities")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
