@@ -252,12 +252,15 @@ def near_duplicates(
     )
     groups = connected_components(verified, "id", "root")
     links = verified.groupBy("id").agg(F.sum("links").alias("n_links"), F.min("partner").alias("partner_id"))
-    found = links.join(groups.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("copy_of"), "n_links", "partner_id", "component")
-    rows_ = signed_.select("id", "digest", "check").join(classes.select("digest", "check", F.col("id").alias("copy_of")), ["digest", "check"], "left")
+    found = links.join(groups.withColumnRenamed("node", "id"), "id", "left")
+    told = classes.select("digest", "check", "id").join(found, "id", "left").withColumnRenamed("id", "copy_of")
+    # written, so that the one join of all rows deals both sides itself and the rows of a hot class can be split
+    rows_ = signed_.select("id", "digest", "check").join(materialize(told, "found"), ["digest", "check"], "left")
     rows_ = rows_.withColumn("copy_of", F.when(F.col("id").isNotNull(), F.coalesce("copy_of", "id")))
-    return rows_.join(found, "copy_of", "left").select(
-        F.col("id").alias(id_col), F.coalesce("component", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "partner_id"
-    )
+    return rows_.select(
+        F.col("id").alias(id_col), F.coalesce("component", "copy_of").alias("class_id"), "copy_of", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "partner_id",
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
