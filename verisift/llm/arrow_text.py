@@ -50,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sums(values: np.ndarray) -> np.ndarray:
+def running_sums(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * powers(BASE, len(values)), out=out[1:])
     return out
@@ -76,7 +76,7 @@ class Chunk:
     byte_sums: np.ndarray
 
     def sums(self) -> np.ndarray:
-        return _sums(self.word)
+        return running_sums(self.word)
 
     def windows(self, sums: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of ``width`` words from each place, and whether the window stays in its row."""
@@ -119,7 +119,7 @@ def _chunk(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, breaks: np.n
     before[offsets[offsets < len(data)]] = False
     after[offsets[offsets > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    sums = _sums(data.astype(np.uint64) + np.uint64(1))
+    sums = running_sums(data.astype(np.uint64) + np.uint64(1))
     word = mix(spans_hash(sums, start, end) + (end - start).astype(np.uint64))
     return Chunk(lo, hi, data, start, end, np.searchsorted(start, offsets), word, sums)
 

@@ -16,7 +16,8 @@ group of thousands of copies costs a row each.
 Shuffled: a (hash, digest) pair for about a quarter of the words, twice; once
 more the full windows of the survivors; and the texts, compressed.  Hot windows
 are combined before the shuffle, and the joins are plain equi-joins whose skewed
-partitions adaptive execution splits.  Hashes have 64 bits.
+partitions adaptive execution splits.  Two windows or texts are equal if two
+64-bit hashes are: of 10^12 windows none are expected to agree by chance.
 
 Defined results: null text is an empty text; a row with a null id is kept whole
 and never matched; rows of one id never remove each other's words; empty tables
@@ -33,11 +34,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verisift.llm.arrow_text import WHITE, Chunk, chunks, mix, signed, spans_hash
+from verisift.llm.arrow_text import WHITE, Chunk, chunks, mix, running_sums, signed, spans_hash
 from verisift.scratch import materialize
 
 #: Part of the compressor's contract with the last stage, not a limit.
 LEVEL = 3
+#: Makes the second hash of a word out of the first.
+OTHER = 0xD1B54A32D192ED03
 
 
 def _digests(chunk: Chunk, sums: np.ndarray) -> np.ndarray:
@@ -46,6 +49,11 @@ def _digests(chunk: Chunk, sums: np.ndarray) -> np.ndarray:
     return mix(spans_hash(sums, first[:-1], first[1:]) + np.diff(first).astype(np.uint64))
 
 
+def _twin(chunk: Chunk) -> np.ndarray:
+    """Running sums of other hashes of the words; a window or text is told by both."""
+    return running_sums(mix(chunk.word ^ np.uint64(OTHER)))
+
+
 def _seeds(chunk: Chunk, sums: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of full windows, and for each the place and hash of its smallest half window."""
     half = (window + 1) // 2
@@ -81,7 +89,7 @@ def _digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch.column(1), WHITE):
             ids = batch.column(0).slice(chunk.lo, chunk.hi - chunk.lo)
-            yield pa.RecordBatch.from_arrays([ids, signed(_digests(chunk, chunk.sums()))], ["id", "digest"])
+            yield pa.RecordBatch.from_arrays([ids, *(signed(_digests(chunk, sums)) for sums in (chunk.sums(), _twin(chunk)))], ["id", "digest", "twin"])
 
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +124,10 @@ def _window_rows(window: int):
                     a, b = bounds[i], bounds[i + 1]
                     keep[a:b] = np.isin(best[a:b].view(np.int64), np.asarray(seeds[chunk.lo + i].values))
                 start, row = start[keep], row[keep]
-                full = mix(spans_hash(sums, start, start + window))
+                full, twin = (mix(spans_hash(s, start, start + window)) for s in (sums, _twin(chunk)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(row + chunk.lo)), pa.array(digests[row + chunk.lo]), pa.array((start - chunk.first[row]).astype(np.int32)), signed(full)],
-                    ["id", "digest", "pos", "full"],
+                    [ids.take(pa.array(row + chunk.lo)), pa.array(digests[row + chunk.lo]), pa.array((start - chunk.first[row]).astype(np.int32)), signed(full), signed(twin)],
+                    ["id", "digest", "pos", "full", "twin"],
                 )
 
     return run
@@ -160,8 +168,8 @@ def repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     smallest id it stands in.
     """
     docs = _columns(docs, id_col, text_col)
-    rows = materialize(docs.mapInArrow(_digest_rows, "id long, digest long").filter("id is not null").distinct(), "copies")
-    firsts = rows.groupBy("digest").agg(F.min("id").alias("first_id"))
+    rows = materialize(docs.mapInArrow(_digest_rows, "id long, digest long, twin long").filter("id is not null").distinct(), "copies")
+    firsts = rows.groupBy("digest", "twin").agg(F.min("id").alias("first_id"))
     seeds = docs.filter("id is not null").select("text").mapInArrow(_seed_rows(window), "seed long, digest long")
     shared = materialize(
         seeds.groupBy("seed").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("seed"), "seeds"
@@ -173,12 +181,12 @@ def repeated_windows(docs: DataFrame, window: int = 13, id_col: str = "doc_id",
     texts = docs.mapInArrow(_packed_rows, "id long, digest long, packed binary")
     full = materialize(
         texts.dropna(subset=["id"]).join(materialize(per_text, "candidates"), ["id", "digest"])
-        .select("id", "digest", "packed", "seeds").mapInArrow(_window_rows(window), "id long, digest long, pos int, full long"),
+        .select("id", "digest", "packed", "seeds").mapInArrow(_window_rows(window), "id long, digest long, pos int, full long, twin long"),
         "windows",
     )
-    first = full.groupBy("full").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id")
+    first = full.groupBy("full", "twin").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).filter("first_id < last_id")
     # written, so that the join deals both sides itself and a hot window's rows can be split
-    return texts, rows.join(firsts, "digest"), full.join(materialize(first.drop("last_id"), "firsts"), "full")
+    return texts, rows.join(firsts, ["digest", "twin"]), full.join(materialize(first.drop("last_id"), "firsts"), ["full", "twin"])
 
 
 def remove_repeated(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +211,7 @@ def longest_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     followed at once by another that does, is a candidate at twice the length.
     """
     _, _, windows = repeated_windows(docs, window, id_col, text_col)
-    level = materialize(windows.select("id", "digest", "pos", "full").distinct(), "level")
+    level = materialize(windows.select("id", "digest", "pos", F.xxhash64("full", "twin").alias("full")).distinct(), "level")
     length, found = window, None
     while not level.isEmpty():
         here = level.select(F.col("id").alias(id_col), "digest", "pos", F.lit(length).alias("length"))
