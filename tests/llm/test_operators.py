@@ -563,3 +563,44 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
     assert max(r.n for r in sizes) <= 100 and len(sizes) > 10
     with pytest.raises(ValueError):
         sharding.write_shards(back, f"file://{tmp_path}/t", 100)
+
+
+def test_pipeline_is_its_stages_one_by_one(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    clean = [" ".join(f"c{x}" for x in rng.integers(0, 400, 80)) for _ in range(200)]
+    bad = [" ".join([*(f"c{x}" for x in rng.integers(0, 400, 78)), "scum", "trash"]) for _ in range(60)]
+    item = " ".join(words(30, 77))
+    near = " ".join([*clean[3].split()[:79], "other"])
+    more = [clean[5], near, f"{clean[7]} {item} {clean[8]}", f"{clean[9]} {clean[10]} mail a.b@example.org", None, "", clean[11]]
+    texts = [*clean, *bad, *more]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(266, clean[11], "en", "s", 1), (None, clean[12], "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [*((i, 1, 0) for i in range(0, 200, 2)), *((i, 1, 1) for i in range(200, 260, 2)), (1, None, 0)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = set(range(200)) | {None} | {263}  # 260, 261, 266 are copies, 262 is contaminated
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == want and len(got) == len(want)
+    decoded = next(r.decoded for r in got if r.doc_id == 263)
+    assert "example" in decoded and "a</w> .</w> b</w>" not in decoded
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(map(str, docs.collect())) == sorted(map(str, got))
+
+
+def test_quality_of_empty_tables_repeated_rows_and_clashing_columns(spark):
+    docs = frame(spark, ["one two", "one two", "three"], [1, 1, 2]).withColumns({"key": F.lit("k"), "place": F.lit(1), "good": F.lit(2)})
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    assert quality.classify(docs, labels).count() == 3 and quality.keep_good(docs, labels).columns == docs.columns
+    assert quality.classify(docs.limit(0), labels).count() == 0 and quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_empty_tables_of_the_others(spark):
+    nothing = frame(spark, ["x"]).limit(0)
+    bench = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g")], "item_id long, text string").withColumn("doc_id", F.lit("d"))
+    assert bpe.encode(nothing, vocabulary()).count() == 0 and decontaminate.find_leaks(nothing, bench).count() == 0
+    twice = frame(spark, ["a b c d e f g"] * 2, [4, 4])
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(twice, bench).collect()] == [(4, 1)] * 4
