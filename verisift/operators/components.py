@@ -20,9 +20,11 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _round(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    # written, so that the join deals both sides itself and the edges of a hot node can be split
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
     large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-    small_low = large.groupBy("u").agg(F.min("v").alias("low"))
+    large = materialize(large, "large")
+    small_low = materialize(large.groupBy("u").agg(F.min("v").alias("low")), "low")
     moved = large.join(small_low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.union(small_low.select("u", F.col("low").alias("v"))).distinct()
 
