@@ -370,6 +370,22 @@ def test_quality(spark):
     assert quality.classify(docs, labels.limit(0)).count() == 360  # without labels all texts stay
 
 
+def test_quality_of_beginnings_that_recur(spark):
+    rng = np.random.default_rng(5)
+    clean = [" ".join([*(f"c{x}" for x in rng.integers(0, 300, 199)), f"scoundrel{i}"][: 199 + i % 4 // 2]) for i in range(300)]  # once is no mark
+    bad = [" ".join([*(f"c{x}" for x in rng.integers(0, 300, 190)), *(f"scoundrel{x}" for x in rng.integers(1000, 9999, 5))]) for _ in range(100)]
+    labels = spark.createDataFrame([*((i, 1, 0) for i in range(0, 300, 2)), *((i, 1, 1) for i in range(300, 400, 2))], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in quality.classify(frame(spark, [*clean, *bad]), labels).collect()} == set(range(300))
+
+
+def test_quality_draws_k(spark):
+    docs = frame(spark, [f"word{i} and more" for i in range(200)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    drawn = [{r.doc_id for r in quality.classify(docs, labels, seed=seed, k=50).collect()} for seed in (1, 2)]
+    assert [len(d) for d in drawn] == [50, 50] and drawn[0] != drawn[1]  # equal ratios: the noise decides
+    assert quality.keep_good(docs, labels, k=50).count() == 50 and quality.classify(docs, labels, k=0).count() == 0
+
+
 def test_kth_largest(spark):
     keys = spark.range(1000).select((F.col("id") / 7).alias("key"))
     bound = quality.kth_largest(keys, 10)

@@ -1,10 +1,11 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed word 1- and 2-grams, beginnings of words, and word shapes: one of
-target text (rows labelled good), one of raw text (all rows).  A
+Two generative models of hashed word 1- and 2-grams, beginnings of words, beginnings
+that recur, and word shapes: one of target text (rows labelled good), one of raw text
+(all rows).  A
 document's importance is the log ratio of what both say about its distinct
 features, perturbed by Gumbel noise that its id fixes; the k documents of the
-largest keys are the sample, k being the number whose log ratio says target.
+largest keys are the sample, k being given or the number whose log ratio says target.
 
 * Features count once a document, so one repetitive text can't make a model.
 * Each feature stands in two hash tables and has the smaller of its two counts,
@@ -39,9 +40,12 @@ from verisift.llm.arrow_text import PUNCT, WHITE, chunks, mix, spans_hash, trimm
 from verisift.scratch import materialize
 
 BUCKETS, SHAPES = 1 << 16, 1 << 14
-SIZE = 6 * BUCKETS + SHAPES
+KINDS = 4
+SIZE = 2 * KINDS * BUCKETS + SHAPES
 #: Bytes of a word's beginning, which words of one stem share.
 STEM = 5
+#: Shares of a text's words from which a beginning recurs, and recurs often.
+RECURS = (0.01, 0.04)
 #: A ratio counts from here (natural logarithm), and if twice its log likelihood ratio is this; a document is bad below LIMIT.
 MARGIN, TEST, LIMIT = 2.5, 28.0, -3.3
 #: Of the log ratio against the noise.
@@ -67,6 +71,14 @@ def _shapes(chunk) -> np.ndarray:
     return ((last * 2 + second) * 2 + shout) * 2 + same
 
 
+def _recurring(stem: np.ndarray, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the beginnings that several words of a text share, with how large a share: a number, and the row."""
+    _, at, many = np.unique(mix(stem ^ mix(row.astype(np.uint64))), return_index=True, return_counts=True)
+    share = np.searchsorted(RECURS, many / words[row[at]], side="right")
+    some = (many > 1) & (share > 0)
+    return mix(stem[at[some]] + share[some].astype(np.uint64)), row[at[some]]
+
+
 def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For parts of the column: (first row, rows, row of each feature, its place in the first table, in the second)."""
     cuts = (chunks(column, PUNCT, lower=True), chunks(column, WHITE))
@@ -78,7 +90,8 @@ def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
             pair, inside = chunk.windows(chunk.sums(), 2)
             long = np.flatnonzero(chunk.end - chunk.start > STEM)
             stem = mix(spans_hash(chunk.byte_sums, chunk.start[long], chunk.start[long] + STEM))
-            kinds = ((word, row), (pair[inside], row[: len(inside)][inside]), (stem, row[long]))
+            again, within = _recurring(stem, row[long], np.diff(chunk.first))
+            kinds = ((word, row), (pair[inside], row[: len(inside)][inside]), (stem, row[long]), (again, within))
             first = [(h & np.uint64(BUCKETS - 1)).astype(np.int64) + 2 * i * BUCKETS for i, (h, _) in enumerate(kinds)]
             second = [(h >> np.uint64(48)).astype(np.int64) + (2 * i + 1) * BUCKETS for i, (h, _) in enumerate(kinds)]
             yield chunk.lo, n, np.concatenate([r for _, r in kinds]), np.concatenate(first), np.concatenate(second)
@@ -87,7 +100,7 @@ def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
             each, many = np.unique(np.repeat(np.arange(n), words) * SHAPES + _shapes(chunk), return_counts=True)
             row = each // SHAPES
             share = np.searchsorted([0.02, 0.1, 0.3], many / words[row])  # how much of the text looks like this
-            shape = (each % SHAPES * 4 + share) % SHAPES + 6 * BUCKETS
+            shape = (each % SHAPES * 4 + share) % SHAPES + 2 * KINDS * BUCKETS
             yield chunk.lo, n, row, shape, shape
 
 
@@ -218,23 +231,23 @@ def kth_largest(keys: DataFrame, k: int, rounds: int = 4, bins: int = 4096) -> f
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, object, float]:
+def resample(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> tuple[DataFrame, object, float]:
     """``(keys, model, bound)``: (id, log_ratio, key) of every row; rows whose key reaches the bound are the sample."""
     model = fit(docs, labels, labelled, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keys = materialize(_plain(docs, id_col, text_col).mapInArrow(trimmed(_key_rows(shared, seed)), "id long, log_ratio double, key double"), "keys")
-    return keys, shared, kth_largest(keys, keys.filter(F.col("log_ratio") > LIMIT).count())
+    return keys, shared, kth_largest(keys, keys.filter(F.col("log_ratio") > LIMIT).count() if k is None else k)
 
 
-def classify(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, log_ratio, key)`` of the documents that are kept."""
-    keys, _, bound = resample(docs, labels, labelled, seed, id_col, text_col)
+def classify(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+    """``(id_col, log_ratio, key)`` of the documents that are kept: the ``k`` of the largest keys, or all that look like the target."""
+    keys, _, bound = resample(docs, labels, labelled, seed, id_col, text_col, k)
     return keys.filter(F.col("key") >= bound).withColumnRenamed("id", id_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: int = 50_000, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept; keys are made again beside the texts, so nothing is joined."""
-    _, shared, bound = resample(docs, labels, labelled, seed, id_col, text_col)
+    _, shared, bound = resample(docs, labels, labelled, seed, id_col, text_col, k)
     at, text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
