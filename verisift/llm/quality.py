@@ -73,10 +73,12 @@ def _shapes(chunk) -> np.ndarray:
 
 def _recurring(stem: np.ndarray, row: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the beginnings that several words of a text share, with how large a share: a number, and the row."""
-    _, at, many = np.unique(mix(stem ^ mix(row.astype(np.uint64))), return_index=True, return_counts=True)
-    share = np.searchsorted(RECURS, many / words[row[at]], side="right")
+    key = np.sort(row << 32 | (stem >> np.uint64(32)).astype(np.int64))  # half a hash tells the beginnings of one text apart
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    many, row = np.diff(np.append(at, len(key))), key[at] >> 32
+    share = np.searchsorted(RECURS, many / words[row], side="right")
     some = (many > 1) & (share > 0)
-    return mix(stem[at[some]] + share[some].astype(np.uint64)), row[at[some]]
+    return mix((key[at[some]] & 0xFFFFFFFF).astype(np.uint64) * np.uint64(len(RECURS) + 1) + share[some].astype(np.uint64)), row[some]
 
 
 def _features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
