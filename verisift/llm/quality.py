@@ -116,7 +116,8 @@ def _count_rows(good: np.ndarray, bad: np.ndarray):
             sides = [(0, np.isin(ids, good)), (1, np.isin(ids, bad)), (2, np.ones(len(ids), bool))]
             for lo, _, row, first, second in _features(batch.column(1)):
                 each = np.concatenate([row * SIZE + first, row * SIZE + second]) if first is not second else row * SIZE + first
-                each = np.unique(each)
+                each.sort()
+                each = each[np.diff(each, prepend=-1) > 0]
                 row, place = each // SIZE, each % SIZE
                 for side, who in sides:
                     mine = place if side == 2 else place[who[row + lo]]
