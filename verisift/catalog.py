@@ -178,16 +178,10 @@ def profile_columns(spark, sf_dir):
     return profile.column_profile(table(spark, sf_dir, "part"), ["p_brand", "p_name", "p_size"]).select("column_name", "n_rows", "n_values", "n_distinct", "n_lengths")
 
 
-@register("""SELECT source AS source_id, COUNT(*) AS n_rows, COUNT(text) AS n_values, ROUND(1 - COUNT(text) * 1.0 / COUNT(*), 6) AS null_ratio FROM documents WHERE text IS NULL OR trim(text) <> '' GROUP BY source""")
-def profile_sources(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "text").filter("text is null or trim(text) <> ''")
-    return profile.source_quality(docs, "source_id", ["text"]).select("source_id", "n_rows", "n_values", "null_ratio")
-
-
 @register("""WITH d AS (SELECT source, NULLIF(trim(text), '') AS text FROM documents)
 SELECT source AS source_id, COUNT(*) AS n_rows, COUNT(text) AS n_values, ROUND(1 - COUNT(text) * 1.0 / COUNT(*), 6) AS null_ratio FROM d GROUP BY source""")
 def profile_all_sources(spark, sf_dir):
-    """Like :func:`profile_sources`, with the rows whose text is blank, which count as nulls."""
+    """Quality of each source over all rows; a blank text counts as a null."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), "text")
     return profile.source_quality(docs, "source_id", ["text"]).select("source_id", "n_rows", "n_values", "null_ratio")
 
