@@ -516,6 +516,32 @@ def test_pii_streets_and_dates_of_birth(spark):
     assert re.fullmatch(r"\d+, rue de \S+; Calle de \S+, \d+", got[2]) and "Rivoli" not in got[2] and "Alcal" not in got[2] and got[3] == given[3]
 
 
+def test_pii_dates_of_birth_are_distinct(spark, monkeypatch):
+    iso = [f"born {1950 + i // 100}-{i % 12 + 1:02}-{i % 28 + 1:02}" for i in range(900)]
+    given = sorted(set(iso)) + [f"geboren am {i % 28 + 1}.{i % 12 + 1}.{50 + i % 9}" for i in range(84)]
+    got = [r.text for r in pii.replace(frame(spark, given), "k").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(given) and not set(got) & set(given)
+    assert all(re.fullmatch(r"born \d{4}-\d\d-\d\d|geboren am \d\d\.\d\d\.(\d\d|\d{4})", x) for x in got)
+    forms = ["born on 3.5.1985", "dob: 03/05/1985", "dob: 1985-05-03"]
+    a, b, c = (re.search(r"\d.*", r.text)[0] for r in pii.replace(frame(spark, forms), "k").orderBy("doc_id").collect())
+    assert a == b.replace("/", ".") == ".".join(c.split("-")[::-1])
+    monkeypatch.setattr(pii, "LATE", 5)
+    monkeypatch.setattr(pii, "_byte", lambda stream, i: F.pmod(F.conv(F.substring(stream, 1, 1), 16, 10).cast("int"), F.lit(2)) + i * 0)  # hardly any numbers
+    few = given[:20] + given[-20:]
+    got = [r.text for r in pii.replace(frame(spark, few), "k").collect()]
+    assert len(set(got)) == 40 and not set(got) & set(few)
+
+
+def test_pii_collisions_across_types_and_spellings(spark):
+    given = [f"Mr {x}" for x in pii.NAMES["latin", "m"]] + ["Mr Zeno Kurz"]  # family names that are first names' surrogates
+    got = [r.text for r in pii.replace(frame(spark, given), "k").orderBy("doc_id").collect()]
+    assert got[-1].split()[1] not in pii.NAMES["latin", "m"]
+    given = [f"+1 {i // 100:02} {i % 100:02} and +1{i:04}" for i in range(0, 9600, 16)]
+    got = [r.text.replace(" ", "").split("and") for r in pii.replace(frame(spark, given), "k").collect()]
+    owners = [x for spellings in got for x in set(spellings)]
+    assert len(owners) == len(set(owners)) and not set(owners) & {f"+1{i:04}" for i in range(0, 9600, 16)}
+
+
 def test_pii_keeps_columns_of_any_name(spark):
     docs = frame(spark, ["a@b.co 555-100-1000", None]).withColumns({"_pii": F.lit(1), "_piitried": F.lit(2), "_row": F.lit(3), "_new": F.lit(4), "kind": F.lit("k"), "row": F.lit(5)})
     got = pii.replace(docs, "k", count_col="n")

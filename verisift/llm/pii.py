@@ -13,15 +13,17 @@ name has a surrogate of its own, first names by gender, so parts of a name agree
 with the whole; and wherever a document names a person, its other mentions of
 those words, bare or in part, are replaced alike.
 
-Collisions are checked over the whole corpus: two entities of one surrogate, or
-a surrogate that is some entity's real value, are tried again with another
-number until none is left, the smallest entity keeping what it has.  A word of a
-person's name or a street gets a further name with each try; short mail names,
-secrets and phone numbers grow from the fourth on, and numbers of a fixed form
-by digits from the ninth on, so there is always room and an end.  Dates of birth
-are too few to be distinct and aren't checked.  Only these
-few exceptions are ever joined to documents, by row, broadcast only if Spark
-finds the written table small enough; all else is computed in the row.
+Collisions are checked over the whole corpus, all types and all spellings of an
+entity: two entities of one surrogate, or a surrogate that is some entity's real
+value, are tried again with another number until none is left, the smallest
+entity keeping what it has.  A word of a person's name or a street gets a further
+name with each try; short mail names, secrets and phone numbers grow from the
+fourth on, dates of birth get any year of four digits from the fourth on, and
+these and numbers of a fixed form grow by digits from the ninth on, so there is
+always room and an end.  A date of birth is one entity in all its forms, read day
+first, but a year of two digits isn't one of four.  Only these exceptions
+are ever joined to documents, by row, broadcast only if Spark finds the written
+table small enough; all else is computed in the row.
 
 Defined results: a null text stays null; an empty one empty; repeated rows get
 the same text; text outside entities isn't touched; other columns stay, whatever
@@ -156,11 +158,13 @@ def kind(entity: Column) -> Column:
 
 
 def normal(entity: Column, of: Column) -> Column:
-    """What is equal for mentions of one entity: case of mail addresses and spacing of numbers don't matter."""
+    """What is equal for mentions of one entity: case of mail addresses, spacing of numbers and the form of a date don't matter."""
+    date = F.regexp_replace(F.regexp_replace(entity, r"^(\d+)[./](\d+)[./](\d+)$", "$3-$2-$1"), r"(?<!\d)(\d)(?!\d)", "0$1")
     return (
         F.when(of == "email", F.lower(entity))
         .when(of.isin("card", "iban", "phone", "ssn"), F.regexp_replace(entity, r"[^0-9A-Z+]", ""))
         .when(of == "secret", F.regexp_replace(F.regexp_replace(entity, SECRET_HEAD, ""), "[\"']$", ""))
+        .when(of == "dob", date)
         .otherwise(entity)
     )
 
@@ -246,12 +250,15 @@ def _address(entity: Column, stream: Column, attempt: Column) -> Column:
     return F.regexp_replace(named, F.lit(r"\d+"), (F.pmod(F.floor(number / 64), F.lit(199)) + 1).cast("string"))
 
 
-def _date(entity: Column, stream: Column) -> Column:
-    """Another day in the same form."""
-    year = (F.pmod(_byte(stream, F.lit(0)), F.lit(60)) + 1940).cast("string")
+def _date(entity: Column, stream: Column, attempt: Column) -> Column:
+    """Another day in the same form; after the first tries of any year of four digits, later of more."""
+    wide = attempt > TRIES
+    of_any = F.pmod(F.conv(F.substring(stream, 33, 12), 16, 10).cast("long"), F.lit(9000)) + 1000
+    more = F.when(attempt > LATE, _overlaid(F.repeat(F.lit("0"), F.greatest(attempt - LATE, F.lit(0))), stream)).otherwise("")
+    year = F.concat(F.when(wide, of_any).otherwise(F.pmod(_byte(stream, F.lit(0)), F.lit(60)) + 1940).cast("string"), more)
     month, day = (F.lpad((F.pmod(_byte(stream, F.lit(i)), F.lit(n)) + 1).cast("string"), 2, "0") for i, n in ((3, 12), (6, 28)))
     sep = F.regexp_extract(entity, r"[./]", 0)
-    short = F.when(F.regexp_like(entity, F.lit(r"[./]\d{2}$")), F.substring(year, 3, 2)).otherwise(year)
+    short = F.when(~wide & F.regexp_like(entity, F.lit(r"[./]\d{2}$")), F.substring(year, F.lit(3), F.length(year))).otherwise(year)
     return F.when(F.regexp_like(entity, F.lit(r"^\d{4}-")), F.concat_ws("-", year, month, day)).otherwise(F.concat(day, sep, month, sep, short))
 
 
@@ -273,7 +280,7 @@ def surrogate(entity: Column, of: Column, attempt: Column, key: str) -> Column:
             .when(of == "phone", _phone(F.concat(entity, F.repeat(F.lit("0"), grown)), s))
             .when(of.isin("family", "woman", "man"), _named(entity, of, s, attempt))
             .when(of == "address", _address(entity, s, attempt))
-            .when(of == "dob", _date(entity, s))
+            .when(of == "dob", _date(entity, s, attempt))
             .otherwise(_overlaid(F.concat(entity, F.repeat(F.lit("0"), late)), s))
         )
 
@@ -306,22 +313,22 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def exceptions(mentions: DataFrame, key: str) -> DataFrame:
-    """``(kind, normal, attempt)`` of the entities whose first surrogate is taken, or real."""
-    known = materialize(mentions.filter("kind <> 'dob'").groupBy("kind", "normal").agg(F.min("entity").alias("entity")), "entities")
+    """``(kind, normal, attempt)`` of the entities whose first surrogate is taken, or real.
 
-    def shown(df: DataFrame) -> DataFrame:
-        return df.withColumn("shown", normal(surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key), F.col("kind")))
-
-    now = materialize(shown(known.withColumn("attempt", F.lit(0))), "surrogates")
+    Every type is held against every other, and an entity by the surrogates of all its spellings.
+    """
+    known = materialize(mentions.select("kind", "entity", "normal").distinct(), "entities")
+    shown = _let(surrogate(F.col("entity"), F.col("kind"), F.col("attempt"), key), lambda s: normal(s, F.col("kind")))
+    now = materialize(known.withColumn("attempt", F.lit(0)).withColumn("shown", shown), "surrogates")
     while True:
-        real = now.join(known.select("kind", F.col("normal").alias("shown")), ["kind", "shown"], "left_semi").select("kind", "normal")
-        first = now.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "normal")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        taken = now.join(first, ["kind", "shown"]).filter(F.col("first.normal") != F.col("normal")).select("kind", "normal")
+        real = now.join(known.select(F.col("normal").alias("shown")), "shown", "left_semi").select("kind", "normal")
+        first = now.groupBy("shown").agg(F.min(F.struct("attempt", "kind", "normal")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        taken = now.join(first, "shown").filter("first.kind <> kind or first.normal <> normal").select("kind", "normal")
         clash = materialize(real.union(taken).distinct().withColumn("clash", F.lit(True)), "clashes")
         if clash.isEmpty():
-            return now.filter("attempt > 0").select("kind", "normal", "attempt")
+            return now.filter("attempt > 0").select("kind", "normal", "attempt").distinct()
         again = now.join(clash, ["kind", "normal"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(F.col("clash").cast("int"), F.lit(0)))
-        after = materialize(shown(again.drop("clash", "shown")), "surrogates")
+        after = materialize(again.withColumn("shown", F.when(F.col("clash"), shown).otherwise(F.col("shown"))).drop("clash"), "surrogates")
         discard(now)
         now = after
 
