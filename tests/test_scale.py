@@ -3,9 +3,12 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from verisift.functions import text
 from verisift.operators import entities
 from verisift.operators.components import connected_components
+from verisift.sources import profile
 
 
 def vectors(spark, n, groups, seed=0):
@@ -29,3 +32,26 @@ def test_a_tile_gives_no_more_edges_than_join_its_groups():
     frame = pd.DataFrame({"id": range(500), "embedding": [np.ones(8)] * 500, "known": [0] * 200 + list(range(300)), "side": 3})
     edges = entities.joining(0.5)(frame)
     assert len(edges) == frame["known"].nunique() - 1
+
+
+def test_only_formats_of_a_texts_shape_are_tried_and_none_is_lost(spark):
+    shown = ["2011-12-01 08:51:09", "2011-12-01 8:51 AM", "2011-12-01 08:51", "12/1/2011 8:51 PM", "12/1/2011 18:51", "12/1/11 8:51 am", "1/2/11 18:51", "2011-12-01", "12/01/2011"]
+    shown += ["Dec 1 - 8:30am", "Dec 01 - 8:30 p.m.", "8:31 pm Dec 1", "18:31 Dec 1", "8:30 AM, Dec 01", "-2011-12-01", "2011-12-01 08:51AM EST", "2011-12-01\t08:51", "2011-12-01 24:00", "12-01-2011", "12", "a-b", ""]
+    clean = text.clean_time(F.col("v"))
+    tries = [F.try_to_timestamp(clean, F.lit(f)) for f in text.TIME_FORMATS]
+    tries += [F.try_to_timestamp(F.concat(F.initcap(F.lower(clean)), F.lit(" 2011")), F.lit(f"{f} yyyy")) for f in text.YEARLESS]
+    rows = spark.createDataFrame([(v,) for v in shown], "v string").select("v", F.coalesce(*tries).cast("string").alias("all"), text.parse_time(F.col("v")).cast("string").alias("one")).collect()
+    assert [r.one for r in rows] == [r["all"] for r in rows] and sum(r.one is not None for r in rows) > 14
+    assert [text._shape(f) for f in ("M/d/yy HH:mm", "MMM d")] == [r"^[-+]?\d+[/][-+]?\d+[/][-+]?\d+[ ][-+]?\d+[:][-+]?\d+$", r"^\S+[ ][-+]?\d+$"]
+
+
+def test_profiles_parse_distinct_values_only(spark):
+    rows = [("1", "x-1"), ("1", "x-1"), ("2.5", None), (None, " "), ("nan", "2001-02-03"), ("7", "2001-02-03")]
+    found = profile.column_profile(spark.createDataFrame(rows, "a string, b string"), ["a", "b"])
+    got = {r[0]: tuple(r)[1:] for r in found.collect()}
+    assert got == {"a": (6, 4, 4, 0, 3, 2, False), "b": (6, 4, 0, 2, 2, 2, False)}
+    assert "gid" not in found._jdf.queryExecution().optimizedPlan().toString()  # no copy of all rows for each count of distinct ones
+
+
+def test_profile_of_no_rows(spark):
+    assert profile.column_profile(spark.createDataFrame([], "a string"), ["a"]).count() == 0

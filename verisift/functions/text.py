@@ -78,11 +78,21 @@ def clean_time(c: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(out, r"[^\w\s:/,.\-+]", "")))
 
 
+def _shape(fmt: str) -> str:
+    """What every text of a format matches: its signs as they are, with numbers and words between them."""
+    return "^" + re.sub("MMM|[A-Za-z]+", lambda m: r"\S+" if m[0] in ("MMM", "a") else r"[-+]?\d+", re.sub(r"([ /:,-])", r"[\1]", fmt)) + "$"
+
+
 def parse_time(c: Column, year: int = 2011) -> Column:
-    text = clean_time(c)
-    full = [F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS]
-    bare = [F.try_to_timestamp(F.concat(F.initcap(F.lower(text)), F.lit(f" {year}")), F.lit(f"{f} yyyy")) for f in YEARLESS]
-    return F.coalesce(*full, *bare)
+    """The first format that fits. A format that a text can't have by its shape isn't tried, as a failed try costs an exception."""
+
+    def first(text: Column) -> Column:
+        full = [F.when(F.regexp_like(text, F.lit(_shape(f))), F.try_to_timestamp(text, F.lit(f))) for f in TIME_FORMATS]
+        bare = [F.when(F.regexp_like(text, F.lit(_shape(f))), F.try_to_timestamp(F.concat(F.initcap(F.lower(text)), F.lit(f" {year}")), F.lit(f"{f} yyyy"))) for f in YEARLESS]
+        return F.coalesce(*full, *bare)
+
+    # every format has one of the signs; the array is so that the cleaned text is made once
+    return F.when(F.regexp_like(c, F.lit("[-/:]")), F.get(F.transform(F.array(clean_time(c)), first), F.lit(0)))
 
 
 def time_equal(a: Column, b: Column) -> Column:

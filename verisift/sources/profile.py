@@ -13,14 +13,15 @@ from verisift.functions.text import is_null, parse_time
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each column: counts, and the shares that parse as numbers and as times."""
     long = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column_name", "value")
-    there = ~is_null(F.col("value"))
-    value = F.when(there, F.col("value"))
-    return long.groupBy("column_name").agg(
-        F.count("*").alias("n_rows"),
-        F.count(value).alias("n_values"),
-        F.sum(F.when(value.try_cast("double").isNotNull(), 1).otherwise(0)).cast("long").alias("n_numeric"),
-        F.sum(F.when(parse_time(value).isNotNull(), 1).otherwise(0)).cast("long").alias("n_dates"),
-        F.countDistinct(value).alias("n_distinct"),
+    value = F.when(~is_null(F.col("value")), F.col("value"))
+    each = long.groupBy("column_name", value.alias("value")).agg(F.count("*").alias("n"))  # parsed once a distinct value
+    value, rows = F.col("value"), lambda hit: F.sum(F.when(hit, F.col("n")).otherwise(0))
+    return each.groupBy("column_name").agg(
+        F.sum("n").alias("n_rows"),
+        rows(value.isNotNull()).alias("n_values"),
+        rows(value.try_cast("double").isNotNull()).alias("n_numeric"),
+        rows(parse_time(value).isNotNull()).alias("n_dates"),
+        F.count(value).alias("n_distinct"),
         F.countDistinct(F.length(value)).alias("n_lengths"),
         F.coalesce(F.bool_and(F.regexp_like(value, F.lit("^[A-Za-z0-9]+$"))), F.lit(False)).alias("alnum"),
     )
