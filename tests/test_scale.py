@@ -1,12 +1,15 @@
 """What grows with the input: steps that work in tiles, on distinct values or on many entities at once give what the plain ones give."""
 
+import zlib
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from verisift.functions import text
-from verisift.operators import entities
+from verisift.operators import entities, models
 from verisift.operators.components import connected_components
 from verisift.sources import profile
 
@@ -55,3 +58,26 @@ def test_profiles_parse_distinct_values_only(spark):
 
 def test_profile_of_no_rows(spark):
     assert profile.column_profile(spark.createDataFrame([], "a string"), ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(models.MODELS))
+def test_models_over_many_entities_give_what_one_entity_gets(spark, monkeypatch, name):
+    rng = np.random.default_rng(1)
+    rows = [(f"e{e}", "a", str(rng.integers(0, 6)), None, ["A", "N", "R", "Né"][rng.integers(0, 4 if e % 2 else 2)]) for e in range(60) for _ in range(rng.integers(1, 9))]
+    frame = pd.DataFrame(rows, columns=["entity", "attribute", "source_id", "row_id", "value"]).drop_duplicates()
+    want = {(e, v): s for e, own in frame.groupby("entity") for v, s in models.MODELS[name](own, seed=zlib.crc32(f"{e}|a".encode())).items()}
+    schema = "entity string, attribute string, source_id string, row_id long, value string"
+    got = {(r.entity, r.value): r.score for r in models.run_model(spark.createDataFrame(rows, schema), name).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    told = pa.Table.from_pandas(frame.drop(columns="row_id"), preserve_index=False).sort_by([("entity", "ascending")])
+    monkeypatch.setattr(models, "ROWS", 50)
+    monkeypatch.setattr(models, "ELEMENTS", 2000)
+    batches = models._streamed(models.MANY[models.MODELS[name]], {})(told.to_batches(max_chunksize=7))
+    assert {(r["entity"], r["value"]): r["score"] for b in batches for r in b.to_pylist()} == pytest.approx(want, abs=1e-9)
+
+
+def test_a_registered_model_still_runs_by_entity(spark, monkeypatch):
+    monkeypatch.setitem(models.MODELS, "own", lambda frame, **_: dict.fromkeys(frame["value"], float(len(frame))))
+    rows = [("e", "a", "1", None, "x"), ("e", "a", "2", None, "y"), ("f", "a", "1", None, "x")]
+    got = models.run_model(spark.createDataFrame(rows, "entity string, attribute string, source_id string, row_id long, value string"), "own")
+    assert sorted((r.entity, r.value, r.score) for r in got.collect()) == [("e", "x", 2.0), ("e", "y", 2.0), ("f", "x", 1.0)]
