@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisift.functions import text
-from verisift.operators import entities, models
+from verisift.operators import entities, fusion, models
 from verisift.operators.components import connected_components
 from verisift.sources import profile
 
@@ -81,3 +81,11 @@ def test_a_registered_model_still_runs_by_entity(spark, monkeypatch):
     rows = [("e", "a", "1", None, "x"), ("e", "a", "2", None, "y"), ("f", "a", "1", None, "x")]
     got = models.run_model(spark.createDataFrame(rows, "entity string, attribute string, source_id string, row_id long, value string"), "own")
     assert sorted((r.entity, r.value, r.score) for r in got.collect()) == [("e", "x", 2.0), ("e", "y", 2.0), ("f", "x", 1.0)]
+
+
+def test_a_time_is_parsed_once_for_all_entities(spark):
+    rows = [(f"e{e}", "a", str(s), s, v) for e in range(20) for s, v in enumerate(["2011-12-01 08:51 AM", "12/1/2011 8:51 AM", "2011-12-01 09:00", None, " "])]
+    told = spark.createDataFrame(rows, "entity string, attribute string, source_id string, row_id long, value string")
+    assert sorted(r.key for r in fusion.time_keys(told, "date_string").collect()) == ["2011-12-01 08:51", "2011-12-01 08:51", "2011-12-01 09:00"]
+    keyed = fusion.aligned_keys(told, "date_string")
+    assert keyed.count() == 60 and keyed.select("entity", "key").distinct().count() == 40

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from verisift.functions.text import DATE_KINDS, canonical_forms, equality_key, is_null, tokens
 from verisift.functions.vectors import cosine, mean_vectors
 from verisift.operators.components import connected_components
+from verisift.scratch import materialize
 
 #: Prior of copying, its decay, weight of shared truths and errors, decay of history, shares of the best that are kept.
 ALPHA, BETA, COPY_DECAY, SHARED_TRUE, SHARED_FALSE = 0.1, 5.0, 0.98, 0.2, 1.0
@@ -48,6 +49,12 @@ def join_minutes(keyed: DataFrame) -> DataFrame:
     return keyed.join(named, ["entity", "attribute", "key"], "left").select("entity", "attribute", "value", F.coalesce("_first", "key").alias("key"))
 
 
+def time_keys(claims: DataFrame, kind: str) -> DataFrame:
+    """(value, key) of all times, each parsed once however many entities have it; written, so that the join knows its size."""
+    shown = claims.filter(~is_null(F.col("value"))).select("value").distinct()
+    return materialize(shown.withColumn("key", equality_key(F.col("value"), kind)), "times")
+
+
 def aligned_keys(claims: DataFrame, kind: str = "general", rules: list[list[dict]] | None = None) -> DataFrame:
     """(entity, attribute, value, key): values of one entity that are equal as they are, or after a rule on either side, have one key.
 
@@ -56,9 +63,10 @@ def aligned_keys(claims: DataFrame, kind: str = "general", rules: list[list[dict
     Only distinct values are worked on, never claims, and no pairs are made.
     """
     values = distinct_values(claims)
+    if not rules and kind in DATE_KINDS:
+        return join_minutes(values.join(time_keys(claims, kind), "value").select("entity", "attribute", "value", "key"))
     if not rules:
-        keyed = values.withColumn("key", equality_key(F.col("value"), kind))
-        return join_minutes(keyed) if kind in DATE_KINDS else keyed
+        return values.withColumn("key", equality_key(F.col("value"), kind))
     formed = values.select("entity", "attribute", "value", F.explode(canonical_forms(F.col("value"), rules, kind)).alias("form")).filter("form is not null")
     scope = F.concat(F.xxhash64("entity", "attribute").cast("string"), F.lit("|"))
     own = values.withColumn("own", F.concat(scope, equality_key(F.col("value"), kind)))
